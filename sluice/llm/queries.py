@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontam, mixing, simhash
+from sluice.llm import chat, decontam, linededup, mixing, simhash
 from sluice.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, tau=4)
 
@@ -16,19 +20,47 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), block=64, budget=1.5, repeat=2.0)
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"), host_col="source", max_ratio=0.1, min_pages=4)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op6_linededup": op6_linededup,
     "op9_decontamination": op9_decontamination,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_chat": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS pos FROM t),
+c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY pos) AS l FROM o GROUP BY conv_id),
+r AS (SELECT min(conv_id) AS conv_id, n, l FROM c GROUP BY n, l),
+m AS (SELECT conv_id, n FROM r WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.n > r.n AND b.l[1 : r.n] = r.l))
+SELECT m.conv_id, CAST((o.pos - 1) // 256 AS INTEGER) AS segment, m.n AS n_turns,
+       string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
+FROM m JOIN o ON o.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY 1, 2, 3""",
+    "op6_linededup": """
+WITH p AS (SELECT row_number() OVER () AS id, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT id, source, pos, lines[pos] AS line, trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+      FROM (SELECT id, source, lines, unnest(range(1, len(lines) + 1)) AS pos FROM p)),
+tot AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+cnt AS (SELECT source, k, count(DISTINCT id) AS n FROM l WHERE k <> '' GROUP BY source, k),
+bad AS (SELECT cnt.source, cnt.k FROM cnt JOIN tot ON cnt.source IS NOT DISTINCT FROM tot.source WHERE n >= 4 AND n / pages > 0.1),
+kept AS (SELECT l.id, l.pos, l.line FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.k = bad.k WHERE bad.k IS NULL),
+s AS (SELECT id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM kept GROUP BY id)
+SELECT p.doc_id, CAST(coalesce(len(p.lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(p.lines), 0) - coalesce(s.n, 0) AS INTEGER) AS n_dropped,
+       CAST(CASE WHEN p.text IS NULL THEN NULL ELSE length(coalesce(s.text, '')) END AS INTEGER) AS n_chars,
+       CASE WHEN p.text IS NULL THEN NULL ELSE sha256(coalesce(s.text, '')) END AS text_sha256
+FROM p LEFT JOIN s ON p.id = s.id""",
     "op9_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
