@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import chat, decontam, linededup, mixing, simhash
+from sluice.llm import chat, decontam, linededup, mixing, simhash, tokens, topk
 from sluice.llm.common import table
 
 
@@ -20,10 +20,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), block=64, budget=1.5, repeat=2.0)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
+
+
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"), host_col="source", max_ratio=0.1, min_pages=4)
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), limit=512)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -32,7 +40,9 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_topk": op4_topk,
     "op6_linededup": op6_linededup,
+    "op7_tokens": op7_tokens,
     "op9_decontamination": op9_decontamination,
 }
 
@@ -48,6 +58,13 @@ m AS (SELECT conv_id, n FROM r WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.n
 SELECT m.conv_id, CAST((o.pos - 1) // 256 AS INTEGER) AS segment, m.n AS n_turns,
        string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
 FROM m JOIN o ON o.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY 1, 2, 3""",
+    "op4_topk": """
+WITH v AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.id, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * coalesce(c.e[i], 0))) AS BIGINT) AS score
+      FROM v AS q JOIN v AS c ON q.id <> c.id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op6_linededup": """
 WITH p AS (SELECT row_number() OVER () AS id, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT id, source, pos, lines[pos] AS line, trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
