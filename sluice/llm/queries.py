@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontam, linededup, mixing, simhash, tokens, topk
+from sluice.llm import chat, decontam, linededup, mixing, quality, simhash, tokens, topk
 from sluice.llm.common import table
 
 
@@ -32,6 +33,11 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), F.round("importance", 3).alias("importance"), F.round("key", 6).alias("key"), "selected")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -43,6 +49,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op6_linededup": op6_linededup,
     "op7_tokens": op7_tokens,
+    "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
 }
 
