@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, budget: float = 1.5, repeat: float = 2.0, weights:
     return s.select("source", "sid", "source_size", target.alias("target"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, budget: float = 1.5, repeat: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 256, budget: float = 1.5, repeat: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(documents, blocks): the documents with their places in the streams, and the pieces of them that each block holds.
 
     documents: id, size, bucket, sid, source_size, target, start (first word's place in its source's stream).
@@ -85,7 +85,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return documents, pieces
 
 
-def slots(documents: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
+def slots(documents: DataFrame, block: int = 256, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
     """sid, block_index, shard, slot (order in the shard), words (how many of the block's first words the slot takes)."""
     s = documents.groupBy("sid").agg(F.max("source_size").alias("n_words"), F.max("target").alias("target")).where("n_words > 0 and target >= 1")
     s = s.withColumn("n", F.ceil(F.col("n_words") / block)).withColumn("words", F.floor("target"))
@@ -98,7 +98,7 @@ def slots(documents: DataFrame, block: int = 64, shard_slots: int = 4096, seed:
     shards = s.agg(F.ceil(F.sum("q") / shard_slots).alias("shards")).first()[0] or 1
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("q") - 1) / shard_slots)))
     draws = s.where("q > 0").withColumn("chunk", chunk)
-    draws = draws.repartition("sid", "chunk")
+    draws = draws.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "chunk")
     first = F.col("chunk") * shard_slots
     draws = draws.withColumn("draw", F.explode(F.sequence(first, F.least(first + shard_slots, F.col("q")) - 1)))
     draws = draws.withColumn("turn", F.floor(F.col("draw") / F.col("n"))).withColumn("i", F.col("draw") % F.col("n"))
@@ -120,15 +120,15 @@ def _inverse_last(n: Column, seed: int, *key: Column) -> Column:
     return F.when(n > 1, F.aggregate(F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)), n - 1, step)).otherwise(F.lit(0).cast("long"))
 
 
-def mixed_pieces(documents: DataFrame, pieces: DataFrame, block: int = 64, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
+def mixed_pieces(documents: DataFrame, pieces: DataFrame, block: int = 256, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
     """The mix itself: sid, shard, slot, id, start (of the document), first (word of the piece in its document), taken."""
     drawn = slots(documents, block, shard_slots, seed)
-    joined = pieces.join(drawn, ["sid", "block_index"])
+    joined = pieces.join(drawn.hint("merge"), ["sid", "block_index"])  # slots look few to the planner before they are unfolded
     taken = F.least(F.col("length"), F.col("words") - F.col("first"))
     return joined.withColumn("taken", taken).where("taken > 0").select("sid", "shard", "slot", "id", "start", (F.col("block_index") * block + F.col("first") - F.col("start")).alias("first"), "taken")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, budget: float = 1.5, repeat: float = 2.0, weights: tuple[float, ...] = WEIGHTS, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 256, budget: float = 1.5, repeat: float = 2.0, weights: tuple[float, ...] = WEIGHTS, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
     """Per document: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
     documents, pieces = plan(docs, id_col, text_col, source_col, block, budget, repeat, weights, seed)
     drawn = mixed_pieces(documents, pieces, block, shard_slots, seed).groupBy("sid", "start").agg(F.sum("taken").alias("taken"))
