@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontam, linededup, mixing, quality, simhash, tokens, topk
+from sluice.llm import chat, decontam, linededup, mixing, quality, simhash, tokens, topk, toxicity
 from sluice.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -51,6 +55,7 @@ QUERIES = {
     "op7_tokens": op7_tokens,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
