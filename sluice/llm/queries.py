@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontam, linededup, mixing, quality, simhash, tokens, topk, toxicity
+from sluice.llm import chat, decontam, linededup, mixing, quality, simhash, tokens, topk, toxicity, warc
 from sluice.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_payload=0)
+
+
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"), host_col="source", max_ratio=0.1, min_pages=4)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_topk": op4_topk,
+    "op5_warc": op5_warc,
     "op6_linededup": op6_linededup,
     "op7_tokens": op7_tokens,
     "op8_quality": op8_quality,
@@ -77,6 +82,14 @@ s AS (SELECT q.id, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(
       FROM v AS q JOIN v AS c ON q.id <> c.id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_warc": """
+WITH p AS (SELECT DISTINCT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) // (1 << CAST((15 - 5 * (i % 4)) AS INTEGER))) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM d""",
     "op6_linededup": """
 WITH p AS (SELECT row_number() OVER () AS id, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT id, source, pos, lines[pos] AS line, trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
