@@ -88,6 +88,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def slots(documents: DataFrame, block: int = 256, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
     """sid, block_index, shard, slot (order in the shard), words (how many of the block's first words the slot takes)."""
     s = documents.groupBy("sid").agg(F.max("source_size").alias("n_words"), F.max("target").alias("target")).where("n_words > 0 and target >= 1")
+    s = s.withColumn("n_words", F.greatest("n_words", F.lit(1).cast("long")))  # filters may run after what follows
     s = s.withColumn("n", F.ceil(F.col("n_words") / block)).withColumn("words", F.floor("target"))
     s = s.withColumn("rounds", F.floor(F.col("words") / F.col("n_words")))
     s = s.withColumn("rest", F.col("words") - F.col("rounds") * F.col("n_words"))

@@ -136,7 +136,7 @@ def train(sample: DataFrame, n_stems: int = STEMS, ridge: float = RIDGE, fairnes
         n[:, r.bucket] = r.n0, r.n1
     docs, n = n[:, -1], n[:, :-1]
     if not docs.all():
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((docs[1] + 0.5) / (docs[0] + 0.5))))
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((docs[1] + 0.5) / (docs[0] + 1.0))))
     buckets = np.sort(_telling(n, docs)[:n_stems])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
