@@ -30,6 +30,8 @@ from sluice.llm.common import cut, use_checkpoint_dir
 DATE = "2024-01-01T00:00:00Z"
 #: Records that a capture is built around.
 ANCHORS = ("response", "revisit", "resource", "conversion")
+#: Pages with repeated payloads up to this many are broadcast (about 200 bytes each).
+BROADCAST_REVISITS = 50_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to array<string>, refers_to string, content_type string, header_digest string, fields map<string,string>, payload_bytes long, payload_digest string"
@@ -84,6 +86,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     first = large.groupBy("sha").agg(F.max(F.struct("page_id", "key")).alias("top"), F.count("*").alias("n")).where("n > 1")
     first = cut(first.select("sha", F.col("top.key").alias("first_key")))
     revisits = large.select("key", "sha").join(first, "sha").where("key <> first_key").select("key", "first_key")
+    if first.isEmpty():
+        revisits = revisits.where("false")
+    elif large.join(first.select("sha"), "sha", "left_semi").count() <= BROADCAST_REVISITS:
+        revisits = F.broadcast(revisits)  # so no payload is shuffled; more revisits join by key
     page = base.join(revisits, "key", "left")
     again = F.col("first_key").isNotNull()
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -104,7 +110,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0) -> None:
-    records(pages, id_col, url_col, payload_col, min_payload).write.option("lineSep", _CRLF * 2).option("compression", "gzip").text(path)
+    records(pages, id_col, url_col, payload_col, min_payload).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 class Parser:

@@ -149,8 +149,9 @@ def brute_warc(pages, least=0):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least", [0, 5])
-def test_warc_round_trip(spark, least):
+@pytest.mark.parametrize("least,limit", [(0, 50_000), (5, -1)])
+def test_warc_round_trip(spark, least, limit, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", limit)
     record = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     html = [None, "", "\n", "\r\n\r\n", "x\r\n\r\n" + record, record, "é😀\x00 zero", "no end", "end\n", "a" * 1_500_000, "abc", "same payload", "same payload"]
     pages = [(i, f"http://h/{i}", h) for i, h in enumerate(html)] + [(50 + i, None, "same payload") for i in range(6)] + [(70, "http://x\r\nInjected: y", ""), (None, "http://null", "same payload")]
