@@ -191,11 +191,11 @@ def _fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float, fairness
         v = xb.T @ (weight * (xb @ v)) * 0.25 / n
         if len(swaps):
             v[:-1] += fairness / len(swaps) * (swaps.T @ (swaps @ (v[:-1])))
-        size = np.linalg.norm(v) or 1.0
+        size = float(np.linalg.norm(v)) or 1.0
         v /= size
     rate, back, t = 1 / (1.2 * size + ridge / n), w, 1.0
     for _ in range(steps):
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        after = (1 + float(np.sqrt(1 + 4 * t * t))) / 2  # a numpy scalar would turn all into doubles
         z = w + (t - 1) / after * (w - back)
         p = 1 / (1 + np.exp(-np.clip(xb @ z, -30, 30)))
         g = xb.T @ (weight * (p - y)) / n
