@@ -18,16 +18,18 @@ def blocked_by_top_rule(inspected: DataFrame) -> DataFrame:
     return inspected.where("decision = 'block'").groupBy(F.col("top_rule").alias("rule")).agg(F.count("*").alias("count"))
 
 
-def blocked_responses(inspected: DataFrame) -> DataFrame:
-    """rule, count: each blocked response counts for every rule it matches."""
-    return inspected.select(F.explode("response_hits").alias("rule")).groupBy("rule").agg(F.count("*").alias("count"))
+def blocked_responses(inspected: DataFrame, hits_col: str = "response_hits") -> DataFrame:
+    """rule, count: each blocked response (or tripped stream: hits_col="hits") counts for every rule it matches."""
+    return inspected.select(F.explode(hits_col).alias("rule")).groupBy("rule").agg(F.count("*").alias("count"))
 
 
-def blocked_counts(requests: DataFrame, responses: DataFrame | None = None) -> DataFrame:
-    """rule, count over both sides; pass responses only where they block."""
+def blocked_counts(requests: DataFrame, responses: DataFrame | None = None, streams: DataFrame | None = None) -> DataFrame:
+    """rule, count over both sides; pass responses and stream actions only where they block."""
     counts = blocked_by_top_rule(requests)
     if responses is not None:
         counts = counts.unionByName(blocked_responses(responses))
+    if streams is not None:
+        counts = counts.unionByName(blocked_responses(streams, "hits"))
     return counts.groupBy("rule").agg(F.sum("count").alias("count"))
 
 

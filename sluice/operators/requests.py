@@ -77,12 +77,16 @@ def routed(df: DataFrame) -> DataFrame:
     return df.where(F.startswith("path", F.lit("/v1/")))
 
 
-def forwarded(df: DataFrame, gateway_key: str = "") -> DataFrame:
-    """Allowed exchanges as the upstream gets them: the body untouched, only the passed headers, the gateway's key if set."""
+def forwarded(df: DataFrame, gateway_key: str = "", base_url: str = "") -> DataFrame:
+    """Allowed exchanges as the upstream gets them: the body untouched, only the passed headers, the gateway's key if set.
+
+    With a base URL also upstream_url: the base and the exchange's path, by default that of chat requests.
+    """
     kept = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PASSED_HEADERS))
     if gateway_key:
         kept = F.map_concat(F.map_filter(kept, lambda k, v: k != "authorization"), F.create_map(F.lit("authorization"), F.lit(f"Bearer {gateway_key}")))
-    return df.where("decision = 'allow'").withColumn("headers", kept)
+    out = df.where("decision = 'allow'").withColumn("headers", kept)
+    return out.withColumn("upstream_url", F.concat(F.lit(base_url), F.coalesce("path", F.lit("/v1/chat/completions")))) if base_url else out
 
 
 def with_upstream_failures(df: DataFrame, error_col: str = "upstream_error") -> DataFrame:

@@ -11,14 +11,17 @@ from sluice.operators import metrics
 from sluice.operators.requests import forwarded, inspect_requests, routed
 from sluice.operators.responses import inspect_responses
 from sluice.sources.exchanges import Options
+from sluice.streaming.sse import inspect_chunks
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """requests: all inspected exchanges; responses: the answers to allowed ones; counters and findings over both."""
+    """requests: all inspected exchanges; responses: whole answers to allowed ones; streams: what happens to the chunks
+    of streamed ones (None without chunks); decisions and blocks: the counters over all."""
 
     requests: DataFrame
     responses: DataFrame
+    streams: DataFrame | None
     decisions: DataFrame
     blocks: DataFrame
 
@@ -26,12 +29,21 @@ class Outcome:
         return metrics.exposition(self.decisions, self.blocks)
 
 
-def run_gateway(exchanges: DataFrame, options: Options | None = None) -> Outcome:
-    """Plans the flow for exchanges with upstream_status and upstream_body; paths outside /v1/ are not the gateway's."""
+def run_gateway(exchanges: DataFrame, options: Options | None = None, chunks: DataFrame | None = None, stream_id: str = "stream_id") -> Outcome:
+    """Plans the flow for exchanges with upstream_status and upstream_body; paths outside /v1/ are not the gateway's.
+
+    chunks: the event streams (stream_id, seq, chunk) that answer exchanges which asked for streaming, matched by the
+    exchanges' column `stream_id`; those of blocked exchanges were never received and are left out.
+    """
     options = options or Options()
     requests = inspect_requests(routed(exchanges), options.atlas_block)
-    allowed = forwarded(requests, options.upstream_api_key)
+    allowed = forwarded(requests, options.upstream_api_key, options.upstream_base_url)
     whole = allowed.where(~F.col("stream") & F.col("upstream_status").isNotNull())
     responses = inspect_responses(whole, options.response_block)
-    blocks = metrics.blocked_counts(requests, responses if options.response_block else None)
-    return Outcome(requests, responses, metrics.decision_counts(requests), blocks)
+    streams = None
+    if chunks is not None:
+        open_streams = allowed.where("stream").select(F.col(stream_id).alias("stream_id"))
+        streams = inspect_chunks(chunks.join(open_streams, "stream_id", "left_semi"), options.response_block)
+    enforced = options.response_block
+    blocks = metrics.blocked_counts(requests, responses if enforced else None, streams if enforced else None)
+    return Outcome(requests, responses, streams, metrics.decision_counts(requests), blocks)
