@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder."""
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once into the shared checkpoint folder: lost executors cost no recomputation."""
     use_checkpoint_dir(df.sparkSession)
@@ -35,6 +49,23 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return reduce(Column.__and__, (left[n].eqNullSafe(right[n]) for n in names))
 
 
+def smallest_hashes(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The `limit` rows of `df` with the smallest hash of `key` (ties by all columns): a sample that reruns agree on.
+
+    Rows beyond twice the expected cut are dropped before the sort, so no task gets more than a few times `limit`.
+    """
+    h = F.xxhash64(key)
+    n = df.count()
+    if n > 4 * limit:
+        df = df.where(h < F.lit(-(1 << 63) + int((1 << 64) * 2 * limit / n)))
+    return df.orderBy(h, *df.columns).limit(limit)
+
+
+def raw(value: pa.Scalar) -> bytes:
+    """The UTF-8 bytes of a string or binary Arrow value, without decoding them; none for null."""
+    return value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that `edges` (columns a, b) names; root is the smallest node of its component.
 

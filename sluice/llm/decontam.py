@@ -17,10 +17,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.llm.common import raw
+
 #: Bytes of item text that are held in memory at once; more items go through in further passes over the documents.
 PIECE_BYTES = 4 << 20
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
@@ -93,25 +96,25 @@ def _counts(docs: DataFrame, index: Index) -> dict[int, int]:
         vocabulary, total = shared.value, np.zeros(len(shared.value) + 1, np.int64)
         for b in batches:
             for text in b.column(0):
-                ws = words(text.as_py())
+                ws = words(raw(text))
                 total += np.bincount(np.fromiter((vocabulary.get(w, -1) for w in ws), np.int64, len(ws)) + 1, minlength=len(total))
         some = np.nonzero(total[1:])[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[1:][some])], ["word", "n"])
 
-    part = docs.select("__text").mapInArrow(work, "word long, n long")
+    part = docs.mapInArrow(work, "word long, n long")
     return {r[0]: r[1] for r in part.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def _pass(index: Index, last: bool, clean_only: bool, keep: int) -> Callable:
+def _pass(index: Broadcast, text_at: int, last: bool, clean_only: bool, keep: int) -> Callable:
     """mapInArrow function: adds the hits of `index` to the columns __hits and __items, and at the end sums up."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         for b in batches:
-            text, hits, items = (b.column(b.schema.get_field_index(c)) for c in ("__text", "__hits", "__items"))
+            text, hits, items = b.column(text_at), b.column(len(b.schema) - 2), b.column(len(b.schema) - 1)
             new_hits, new_items, n_words = [], [], []
             for t, h, i in zip(text, hits, items, strict=True):
-                ids = ix.numbers(words(t.as_py()))
+                ids = ix.numbers(words(raw(t)))
                 found, names = [np.array(h.as_py() or [], np.int64)], set(i.as_py() or [])
                 for start, w in ix.find(ids):
                     found.append(np.stack([start, start + ix.length[w]], 1).ravel())
@@ -147,17 +150,17 @@ def _merge(bounds: np.ndarray) -> np.ndarray:
 
 def _scan(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, piece_bytes: int, clean_only: bool) -> DataFrame:
     keep = len(docs.columns)
-    work = docs.withColumns({"__text": F.col(text_col).cast("binary"), "__hits": F.lit(None).cast("array<long>"), "__items": F.lit(None).cast("array<string>")})
+    work = docs.withColumns({"__hits": F.lit(None).cast("array<long>"), "__items": F.lit(None).cast("array<string>")})
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("binary"), F.lit(b"")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     pieces = max(1, -(-total // piece_bytes))
-    texts = work.select("__text")
+    texts, text_at = docs.select(text_col), docs.columns.index(text_col)
     for i in range(pieces):
         index = Index([(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(pieces)) == i).collect()], window)
         index.order(_counts(texts, index))
         last = i == pieces - 1
         schema = work.schema if not last else docs.schema if clean_only else T.StructType(docs.schema.fields + RESULT)
-        work = work.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index), last, clean_only, keep), schema)
+        work = work.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index), text_at, last, clean_only, keep), schema)
     return work
 
 

@@ -35,7 +35,7 @@ def _hash(key: Column) -> Column:
 def boilerplate(df: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int) -> DataFrame:
     """host, h1, h2 of the boilerplate lines of each host."""
     pages = df.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = cut(pages.groupBy("host").agg(F.count("*").alias("pages")))  # a table of its own, so that a hot host's lines can be split
     keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _key), lambda k: k != ""))
     lines = pages.select("host", F.explode(keys).alias("key")).select("host", _hash(F.col("key")).alias("h")).select("host", "h.h1", "h.h2")
     counts = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)

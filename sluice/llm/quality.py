@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import cut
+from sluice.llm.common import cut, raw, smallest_hashes
 
 #: log2 of the buckets; n-gram lengths in bytes (up to 8).
 BUCKET_BITS = 16
@@ -63,7 +63,7 @@ def _model(texts: DataFrame, bits: int, lengths: tuple[int, ...]) -> np.ndarray:
         total = np.zeros(len(lengths) << bits, np.int64)
         for b in batches:
             for text in b.column(0):
-                for g in _grams(text.as_py() or b"", bits, lengths):
+                for g in _grams(raw(text), bits, lengths):
                     total += np.bincount(g, minlength=len(total))
         some = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
@@ -94,25 +94,37 @@ def gumbel(seed: int, key: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BUCKET_BITS, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """id, text_hash, importance, grams per row of `docs`; `target` has the texts of the target model in `text_col`."""
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    wanted = target.select(F.col(text_col).cast("binary").alias("text"))
-    weight = docs.sparkSession.sparkContext.broadcast(_log_ratio(_model(wanted, bits, lengths), _model(texts, bits, lengths), bits).astype(np.float32))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("importance", T.DoubleType()), T.StructField("grams", T.LongType())])
+def log_ratio(docs: DataFrame, target: DataFrame, text_col: str = "text", bits: int = BUCKET_BITS, lengths: tuple[int, ...] = LENGTHS) -> np.ndarray:
+    """The importance of an n-gram by bucket; `target` has the texts of the target model in `text_col`."""
+    model = lambda df: _model(df.select(text_col), bits, lengths)
+    return _log_ratio(model(target), model(docs), bits).astype(np.float32)
+
+
+def _scored(df: DataFrame, text_col: str, weights: np.ndarray, bits: int, lengths: tuple[int, ...], keep_text: bool) -> DataFrame:
+    """`df`, with its text column or without, and __importance and __grams of the text."""
+    weight = df.sparkSession.sparkContext.broadcast(weights)
+    text_at = df.columns.index(text_col)
+    kept = [i for i in range(len(df.columns)) if keep_text or i != text_at]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField("__importance", T.DoubleType()), T.StructField("__grams", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             value, grams = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for i, text in enumerate(b.column(2)):
-                for g in _grams(text.as_py() or b"", bits, lengths):
+            for i, text in enumerate(b.column(text_at)):
+                for g in _grams(raw(text), bits, lengths):
                     value[i] += weight.value[g].sum(dtype=np.float64)
                     grams[i] += len(g)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(value), pa.array(grams)], schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(value), pa.array(grams)], schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("text")).mapInArrow(work, schema)
+    return df.mapInArrow(work, schema)
 
 
+def _keyed(scored: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """With __key (importance + noise, per n-gram) and __step: the key in steps of 2**-32, as a non-negative long."""
+    noise = gumbel(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    key = (F.col("__importance") + noise) / F.greatest("__grams", F.lit(1))
+    step = F.round(F.greatest(F.least(key, F.lit(float(1 << 20))), F.lit(-float(1 << 20))) * float(1 << 32)).cast("long") + F.lit(1 << 61).cast("long")
+    return scored.withColumn("__key", key).withColumn("__step", step)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
@@ -134,31 +146,39 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
 
 
 def target_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_target: int = MAX_TARGET) -> DataFrame:
-    """The documents whose label is 1, at most about `max_target` of them, chosen by a hash of the id."""
+    """The documents whose label is 1, `max_target` ids of them at most, chosen by a hash of the id."""
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
-    chosen = good.orderBy(F.xxhash64("__id"), "__id").limit(max_target)
+    chosen = smallest_hashes(good, "__id", max_target)
     return docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id"), "left_semi")
 
 
-def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, seed: int = 11, max_target: int = MAX_TARGET, spare: float = SPARE) -> DataFrame:
-    """id, text_hash, importance, grams, key (importance + noise, per n-gram), selected per row of `docs`."""
+def _draw(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int | None, seed: int, max_target: int, spare: float) -> tuple[np.ndarray, DataFrame, int | None, int]:
+    """(weights by bucket, scores of all rows, the least __step that stays or None for all, k)."""
     target = cut(target_rows(docs, labels, id_col, label_col, max_target).select(F.col(id_col), F.col(text_col)))
-    scored = importance(docs, target, id_col, text_col)
-    per = F.greatest("grams", F.lit(1))
-    key = (F.col("importance") + gumbel(seed, F.coalesce(F.col("id").cast("string"), F.lit("null")))) / per
-    # in steps of 2**-32, shifted to be non-negative: the order that radix selection and the cut share
-    step = F.round(F.greatest(F.least(key, F.lit(float(1 << 20))), F.lit(-float(1 << 20))) * float(1 << 32)).cast("long") + F.lit(1 << 61).cast("long")
-    scored = cut(scored.withColumn("key", key).withColumn("step", step).withColumn("mean", F.col("importance") / per))
+    weights = log_ratio(docs, target, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    scored = _keyed(_scored(rows, "text", weights, BUCKET_BITS, LENGTHS, False), "id", seed)
+    scored = cut(scored.withColumn("__mean", F.col("__importance") / F.greatest("__grams", F.lit(1))))
     if k is None:
         wanted = target.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-        reached = scored.join(wanted, ["id", "text_hash"], "left_semi").agg(F.percentile_approx("mean", spare, 10_000)).first()[0]
-        k = scored.where(F.col("mean") >= min(MARGIN, MARGIN if reached is None else reached)).count()
-    least = kth_largest(scored, "step", k)
-    selected = F.lit(k > 0) if least is None else F.col("step") >= least
-    return scored.select("id", "text_hash", "importance", "grams", "key", selected.alias("selected"))
+        reached = scored.join(wanted, ["id", "text_hash"], "left_semi").agg(F.percentile_approx("__mean", spare, 10_000)).first()[0]
+        k = scored.where(F.col("__mean") >= min(MARGIN, MARGIN if reached is None else reached)).count()
+    return weights, scored, kth_largest(scored, "__step", k), k
+
+
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, seed: int = 11, max_target: int = MAX_TARGET, spare: float = SPARE) -> DataFrame:
+    """id, text_hash, importance, grams, key (importance + noise, per n-gram), selected per row of `docs`."""
+    _, scored, least, k = _draw(docs, labels, id_col, text_col, label_col, k, seed, max_target, spare)
+    selected = F.lit(k > 0) if least is None else F.col("__step") >= least
+    return scored.select("id", "text_hash", F.col("__importance").alias("importance"), F.col("__grams").alias("grams"), F.col("__key").alias("key"), selected.alias("selected"))
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 11, max_target: int = MAX_TARGET, spare: float = SPARE) -> DataFrame:
-    """The rows of `docs`, all columns, that the draw selects; rows without an n-gram stay."""
-    out = cut(select(docs, labels, id_col, text_col, label_col, None, seed, max_target, spare).where(~F.col("selected") & (F.col("grams") > 0)).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")))
-    return docs.join(out, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")), "left_anti")
+    """The rows of `docs`, all columns, that the draw selects; rows without an n-gram stay.
+
+    Whether a row stays depends on it and the cut alone, so rows are scored again where they are and none is shuffled.
+    """
+    weights, _, least, k = _draw(docs, labels, id_col, text_col, label_col, None, seed, max_target, spare)
+    scored = _keyed(_scored(docs, text_col, weights, BUCKET_BITS, LENGTHS, True), id_col, seed)
+    stays = F.lit(k > 0) if least is None else F.col("__step") >= least
+    return scored.where(stays | (F.col("__grams") == 0)).select(*docs.columns)

@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import connected_components, cut, same
+from sluice.llm.common import connected_components, cut, raw, same
 
 SEED = 42
 BITS = 64
 #: Long texts are worked through in pieces of about this many bytes.
 PIECE = 1 << 20
+#: Keys of dropped rows up to this many are broadcast (about 40 bytes each).
+BROADCAST_ROWS = 200_000
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -68,11 +70,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(2)), np.uint64, b.num_rows)
+            fp = np.fromiter((fingerprint(raw(x), shingle) for x in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "text_hash", "fp"])
 
     text = F.col(text_col)
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(work, schema)
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(work, schema)
 
 
 def _signed(x: int) -> int:
@@ -135,7 +137,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     first = cut(first.distinct())
     repeated = of.join(first, same(of, first, "id", "text_hash"), "left_semi").groupBy("id", "text_hash").count().where("count > 1")
     stay = first.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    out = df.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")), "left_semi")
+    gone = of.join(first, same(of, first, "id", "text_hash"), "left_anti").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    gone = cut(gone)
+    it = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
+    # few rows go: their keys travel to the documents; many: documents are shuffled to meet the keys of those that stay
+    out = df.join(F.broadcast(gone), it, "left_anti") if gone.count() <= BROADCAST_ROWS else df.join(stay, it, "left_semi")
     if repeated.isEmpty():
         return out
     return out.withColumn("__hash", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__hash"]).drop("__hash")

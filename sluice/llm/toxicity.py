@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import cut
+from sluice.llm.common import cut, smallest_hashes
 
 #: log2 of the buckets that stems are hashed to; stem lengths in bytes; stems the model has.
 BUCKET_BITS = 18
@@ -114,7 +114,7 @@ class Model:
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learnable: Column, max_train: int) -> DataFrame:
     """label, text of at most about max_train labelled documents."""
     usable = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__id IS NOT NULL AND __label IN (0, 1)")
-    chosen = usable.where(learnable).orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_train)
+    chosen = smallest_hashes(usable.where(learnable), "__id", max_train)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("binary").alias("text"))
     return texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select(F.col("__label").alias("label"), "text")
 

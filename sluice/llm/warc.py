@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, use_checkpoint_dir
+from sluice.llm.common import cut, remove_folder, shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
 #: Records that a capture is built around.
@@ -37,18 +36,6 @@ _CRLF = "\r\n"
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to array<string>, refers_to string, content_type string, header_digest string, fields map<string,string>, payload_bytes long, payload_digest string"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared checkpoint folder."""
-    use_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(conf).delete(folder, True)
-
-
 def base32_of_hex(hex40: Column) -> Column:
     """Base32 of a 40-digit hex string: 5 digits are 20 bits are 4 letters."""
 

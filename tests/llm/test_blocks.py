@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import mixing, topk, warc
-from sluice.llm.common import cut
+from sluice.llm.common import cut, smallest_hashes
 
 DOC = "doc_id int, text string, source string, size int, sid string"
 
@@ -182,3 +182,10 @@ def test_assembly_follows_identifiers_both_ways_and_through_others(spark):
 def test_not_an_archive():
     with pytest.raises(ValueError):
         warc.Parser().feed(b"<html>")
+
+
+def test_samples_by_hash_agree_with_a_full_sort(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k").repartition(5)
+    want = [r.k for r in df.orderBy(F.xxhash64("k")).limit(100).collect()]
+    assert [r.k for r in smallest_hashes(df, "k", 100).collect()] == want
+    assert smallest_hashes(df, "k", 5000).count() == 3000

@@ -54,16 +54,18 @@ def texts():
     return out + out[:5]
 
 
-def test_fingerprints_and_classes_match_brute_force(spark, texts):
+def test_fingerprints_and_classes_match_brute_force(spark, texts, monkeypatch):
     ids = [None if i == 3 else i * 7 % 1000 for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, "s", "x", 1) for i, t in zip(ids, texts)], DOC)
     got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect() if r.doc_id is not None)
     fps = [brute_fingerprint(t) for t in texts]
     want = brute_components(ids, fps)
     assert got == sorted((i, f"{f:016x}", c) for i, f, c in zip(ids, fps, want) if i is not None)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    assert kept.count() == len({str(c) for c in want if c is not None}) + sum(c is None for c in want)
+    for limit in (simhash.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        assert kept.count() == len({str(c) for c in want if c is not None}) + sum(c is None for c in want)
 
 
 def test_pieces_of_long_texts_change_nothing():
