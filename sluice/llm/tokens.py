@@ -7,6 +7,9 @@ boundary. Two chunks are spliced at a stable boundary inside their overlap at wh
 and from which, up to the next stable boundary in the overlap, both have the same tokens. Where no boundary qualifies,
 the overlap is doubled, in the end to the whole text. Added special strings hold no white space, so no splice cuts one.
 
+Shorter texts are cut at all their stable boundaries, so their counts add up from pieces; a worker remembers the counts
+of the short pieces it has met, and encodes the others.
+
 Null and empty texts have no tokens. Repeated rows each get a row.
 """
 
@@ -26,9 +29,12 @@ from pyspark.sql import types as T
 #: Characters of a chunk and of the first overlap; texts up to a chunk are encoded at once.
 CHUNK = 32_768
 OVERLAP = 512
-#: Characters handed to the library in one call.
+#: Characters of texts that are counted together; pieces a worker remembers, and the characters of the longest of them.
 BATCH_CHARS = 1 << 20
+REMEMBERED, REMEMBERED_CHARS = 500_000, 40
 _STABLE = re.compile(r"(?<=\S)(?=[\x20\x09-\x0d])")
+#: The pieces between stable boundaries: ASCII white space and what follows up to the next, or what ends the text.
+_PIECE = re.compile(r"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+\Z")
 
 
 def default_path() -> str:
@@ -48,6 +54,12 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def _remembered(path: str) -> dict[str, int]:
+    """Counts of pieces, kept by a worker from task to task."""
+    return {}
+
+
 def _encoded(tokenizer, text: str, at: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and first characters' places in the whole text of a chunk that starts at `at`."""
     e = tokenizer.encode(text, add_special_tokens=False)
@@ -93,13 +105,25 @@ def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     return total + len(left[0])
 
 
-def count_batch(tokenizer, texts: list[str | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+def _count_short(tokenizer, texts: list[str], known: dict[str, int]) -> list[int]:
+    """Tokens of each text from those of its pieces; `known` keeps the counts of short ones."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    pieces = [_PIECE.findall(t) for t in texts]
+    fresh = list({p for ps in pieces for p in ps if p not in known})
+    found = {p: len(e) for p, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
+    known.update((p, n) for p, n in found.items() if len(p) <= REMEMBERED_CHARS)
+    return [sum(known[p] if p in known else found[p] for p in ps) for ps in pieces]
+
+
+def count_batch(tokenizer, texts: list[str | None], chunk: int = CHUNK, overlap: int = OVERLAP, known: dict[str, int] | None = None) -> list[int]:
+    known = {} if known is None else known
     counts, waiting, size = [0] * len(texts), [], 0
 
     def flush() -> None:
         nonlocal size
-        for i, e in zip(waiting, tokenizer.encode_batch_fast([texts[i] for i in waiting], add_special_tokens=False), strict=True):
-            counts[i] = len(e)
+        for i, n in zip(waiting, _count_short(tokenizer, [texts[i] for i in waiting], known), strict=True):
+            counts[i] = n
         waiting.clear()
         size = 0
 
@@ -124,9 +148,9 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer, known = _tokenizer(path), _remembered(path)
         for b in batches:
-            n = np.array(count_batch(tokenizer, b.column(2).to_pylist(), chunk, overlap), np.int64)
+            n = np.array(count_batch(tokenizer, b.column(2).to_pylist(), chunk, overlap, known), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(n > limit)], schema.names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -76,6 +76,7 @@ def test_chunked_counts_equal_whole_counts(tokenizer):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 300)))
         whole = len(tokenizer.encode(text, add_special_tokens=False))
         assert tokens.count_long(tokenizer, text, rng.choice([5, 16, 40, 100]), rng.choice([1, 4, 16])) == whole
+        assert tokens.count_batch(tokenizer, [text, None, text]) == [whole, 0, whole]
     for text in ("ab" * 30_000, " " * 5000, "word " * 20_000):
         assert tokens.count_long(tokenizer, text, 4096, 64) == len(tokenizer.encode(text, add_special_tokens=False))
 
