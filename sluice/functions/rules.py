@@ -27,8 +27,8 @@ except ImportError:  # before Python 3.11
 
 #: Families of secrets and personal data whose format is the same on the way out, so responses are scanned for them too.
 SECRET_FAMILIES = ("DLP.C", "DLP.A", "DLP.S", "DLP.M", "DLP.D", "DLP.F", "DLP.G", "DLP.K", "DLP.I", "DLP.P")
-#: Shorter literals gate nothing; more than this many cost more than they save.
-_MIN_LITERAL, _MAX_LITERALS, _MAX_SETS, _MAX_IN_SET = 3, 24, 2, 48
+#: Bytes of the shortest literal of a gate; texts that a part of a pattern may be unfolded to; sets of a gate, and their size.
+_MIN_LITERAL, _MAX_LITERALS, _MAX_SETS, _MAX_IN_SET = 2, 24, 3, 64
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Rule:
     @cached_property
     def gate(self) -> tuple[tuple[str, ...], ...]:
         """Sets of lower-case literals; every match has one of each set. Empty if there are none worth testing."""
-        sets = [s for s in _needed(_p.parse(self.pattern)) if min(map(len, s)) >= _MIN_LITERAL and len(s) <= _MAX_IN_SET]
+        sets = [s for s in _needed(_p.parse(self.pattern)) if min(len(x.encode()) for x in s) >= _MIN_LITERAL and len(s) <= _MAX_IN_SET]
         return tuple(tuple(sorted(x for x in s if not any(y != x and y in x for y in s))) for s in sorted(set(sets), key=_worth, reverse=True)[:_MAX_SETS])
 
     def may_match(self, lowered: str) -> bool:

@@ -5,58 +5,35 @@ All take text that has been normalized where the caller wants disguises folded.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions.decode import decoded_base64, rot13
+from sluice.functions.gates import candidates
 from sluice.functions.rules import Rule, atlas_rules, request_rules, response_rules
 
-_NO_IDS = "array<string>"
+_IDS = "array<string>"
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once per row."""
-    return F.transform(F.array(value), body)[0]
+def matches(text: Column, possible: Column, rules: Sequence[Rule]) -> Column:
+    """Ids of the matching rules, in the order of `rules`; a gated rule's regex runs only if its number is `possible`."""
+    found = []
+    for n, r in enumerate(rules):
+        hit = F.when(text.rlike(r.java), F.lit(r.rule_id))
+        found.append(F.when(F.array_contains(possible, F.lit(n)), hit) if r.gate else hit)
+    return F.array_compact(F.array(*found)) if found else F.array().cast(_IDS)
 
 
-def _lowered(text: Column) -> Column:
-    """Lower case as the gates need it: the long s and the Kelvin sign match s and k regardless of case."""
-    return F.translate(F.lower(text), "ſK", "sk")
-
-
-def matches(text: Column, lowered: Column, rules: Sequence[Rule]) -> Column:
-    """Ids of the matching rules, in the order of `rules`; a rule's regex runs only if its literals are there.
-
-    The literals of the rules' first sets are looked for once each, however many rules share them.
-    """
-    if not rules:
-        return F.array().cast(_NO_IDS)
-    shared = list(dict.fromkeys(x for r in rules for x in (r.gate[0] if r.gate else ())))
-    place = {x: i for i, x in enumerate(shared)}
-
-    def ids(there: Column) -> Column:
-        found = []
-        for r in rules:
-            hit = F.when(text.rlike(r.java), F.lit(r.rule_id))
-            for literals in r.gate[1:]:
-                hit = F.when(_any(F.contains(lowered, F.lit(x)) for x in literals), hit)
-            found.append(F.when(_any(there[place[x]] for x in r.gate[0]), hit) if r.gate else hit)
-        return F.array_compact(F.array(*found))
-
-    return let(F.array(*[F.contains(lowered, F.lit(x)) for x in shared]), ids) if shared else ids(F.array())
-
-
-def _any(tests: Iterable[Column]) -> Column:
-    return reduce(Column.__or__, tests)
+def hits_each(texts: Column, rules: Sequence[Rule]) -> Column:
+    """array<array<string>>: the hits of each text of an array without nulls."""
+    return F.zip_with(texts, candidates(texts, tuple(rules)), lambda t, p: matches(t, p, rules))
 
 
 def hits(text: Column, rules: Sequence[Rule]) -> Column:
     """Ids of the rules that match, in the order of `rules`."""
-    both = F.struct(F.coalesce(text, F.lit("")).alias("t"), _lowered(F.coalesce(text, F.lit(""))).alias("l"))
-    return let(both, lambda x: matches(x["t"], x["l"], rules))
+    return hits_each(F.array(F.coalesce(text, F.lit(""))), rules)[0]
 
 
 def scan(text: Column, decoded: Column | None = None, extra: Sequence[Rule] = ()) -> Column:
@@ -66,11 +43,9 @@ def scan(text: Column, decoded: Column | None = None, extra: Sequence[Rule] = ()
     the foldings that need no Python. The ROT13 of the whole text always comes last.
     """
     text = F.coalesce(text, F.lit(""))
-    plain = decoded_base64(text) if decoded is None else F.coalesce(decoded, F.array().cast(_NO_IDS))
+    plain = decoded_base64(text) if decoded is None else F.coalesce(decoded, F.array().cast(_IDS))
     texts = F.concat(F.array(text), plain, F.array(rot13(text)))
-    rules = request_rules() + tuple(extra)
-    pairs = F.transform(texts, lambda t: F.struct(t.alias("t"), _lowered(t).alias("l")))
-    return F.array_distinct(F.flatten(F.transform(pairs, lambda x: matches(x["t"], x["l"], rules))))
+    return F.array_distinct(F.flatten(hits_each(texts, request_rules() + tuple(extra))))
 
 
 def scan_response(text: Column, extra: Sequence[Rule] = ()) -> Column:

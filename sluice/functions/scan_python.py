@@ -7,6 +7,7 @@ import unicodedata
 
 import regex
 
+from sluice.functions.gates import finder
 from sluice.functions.normalize import INVISIBLE, LOOKALIKE_FROM, LOOKALIKE_TO, SMALL_FROM, SMALL_TO, TAG_FROM, TAG_TO
 from sluice.functions.rules import Rule, response_rules
 
@@ -32,5 +33,6 @@ def normalize(text: str) -> str:
 
 def scan_response(text: str, rules: tuple[Rule, ...] | None = None) -> list[str]:
     """Ids of the matching response rules, in order."""
-    lowered = text.lower().translate({0x17F: "s", 0x212A: "k"})
-    return [r.rule_id for r in rules or response_rules() if r.may_match(lowered) and r.python.search(text)]
+    rules = rules or response_rules()
+    possible = set(finder(rules)(text))
+    return [r.rule_id for n, r in enumerate(rules) if (n in possible or not r.gate) and r.python.search(text)]

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.body import parse_strict
+from sluice.functions.gates import candidates
 from sluice.functions.normalize import normalize_each
-from sluice.functions.scan import scan_response
+from sluice.functions.rules import response_rules
+from sluice.functions.scan import matches
 
 WINDOW = 500
 DONE = "[DONE]"
@@ -64,15 +66,17 @@ def _windows(bodies: pd.Series) -> pd.DataFrame:
 
 def first_hit(scanned: Column, events: Column, windows: Column) -> Column:
     """struct<scanned, hit_at, hits>: events up to the first whose window matches, its number, and the rules."""
+    rules = response_rules()
     none = F.struct(F.lit(None).cast("int").alias("at"), F.array().cast("array<string>").alias("hits"))
 
-    def step(found: Column, x: Column) -> Column:  # windows after the first hit are not scanned
-        now = scan_response(x["w"])
-        return F.when(F.size(found["hits"]) > 0, found).otherwise(F.transform(F.array(now), lambda h: F.struct(F.when(F.size(h) > 0, x["e"]).alias("at"), h.alias("hits")))[0])
+    def step(found: Column, x: Column) -> Column:  # windows after the first hit are not matched
+        now = F.array(matches(x["w"], x["p"], rules))
+        return F.when(F.size(found["hits"]) > 0, found).otherwise(F.transform(now, lambda h: F.struct(F.when(F.size(h) > 0, x["e"]).alias("at"), h.alias("hits")))[0])
 
-    pairs = F.zip_with(events, windows, lambda e, w: F.struct(e.alias("e"), w.alias("w")))
-    found = F.transform(F.array(F.aggregate(pairs, none, step)), lambda f: F.struct(F.coalesce(f["at"], scanned).alias("scanned"), f["at"].alias("hit_at"), f["hits"].alias("hits")))
-    return found[0]
+    parts = F.arrays_zip(events.alias("e"), windows.alias("w"), candidates(windows, rules).alias("p"))
+    parts = F.transform(parts, lambda x: F.struct(x["e"].alias("e"), x["w"].alias("w"), x["p"].alias("p")))
+    found = F.array(F.aggregate(parts, none, step))
+    return F.transform(found, lambda f: F.struct(F.coalesce(f["at"], scanned).alias("scanned"), f["at"].alias("hit_at"), f["hits"].alias("hits")))[0]
 
 
 def scan_sse(df: DataFrame, body_col: str = "body", out_col: str = "sse") -> DataFrame:
