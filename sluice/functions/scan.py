@@ -44,7 +44,11 @@ def scan(text: Column, decoded: Column | None = None, extra: Sequence[Rule] = ()
     """
     text = F.coalesce(text, F.lit(""))
     plain = decoded_base64(text) if decoded is None else F.coalesce(decoded, F.array().cast(_IDS))
-    texts = F.concat(F.array(text), plain, F.array(rot13(text)))
+    return scan_decoded(F.concat(F.array(text), plain, F.array(rot13(text))), extra)
+
+
+def scan_decoded(texts: Column, extra: Sequence[Rule] = ()) -> Column:
+    """scan() of the clear text and what was decoded from it, given as one array in that order."""
     return F.array_distinct(F.flatten(hits_each(texts, request_rules() + tuple(extra))))
 
 

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 REQUESTS, BLOCKS = "sluice_requests_total", "sluice_blocked_total"
 
 
+def _counts(inspected: DataFrame) -> DataFrame:
+    """decision, top_rule, n: what both request counters are made of, so that one query scans its requests once."""
+    return inspected.groupBy("decision", "top_rule").agg(F.count("*").alias("n"))
+
+
 def decision_counts(inspected: DataFrame) -> DataFrame:
     """decision, count."""
-    return inspected.groupBy("decision").agg(F.count("*").alias("count"))
+    return _counts(inspected).groupBy("decision").agg(F.sum("n").alias("count"))
 
 
 def blocked_by_top_rule(inspected: DataFrame) -> DataFrame:
     """rule, count: each blocked request counts once, for its first reason."""
-    return inspected.where("decision = 'block'").groupBy(F.col("top_rule").alias("rule")).agg(F.count("*").alias("count"))
+    blocked = F.sum(F.when(F.col("decision") == "block", F.col("n")))
+    return _counts(inspected).groupBy(F.col("top_rule").alias("rule")).agg(blocked.alias("count")).where("count > 0")
 
 
 def blocked_responses(inspected: DataFrame, hits_col: str = "response_hits") -> DataFrame:
@@ -52,10 +58,14 @@ def family(rule_id: Column) -> Column:
 
 def findings(inspected: DataFrame, *ids: str, atlas_block: bool = False) -> DataFrame:
     """A log row per exchange with hits: the `ids` columns, agent, action ("block" or "log"), kind, rules."""
-    keep = [F.col(c) for c in (*ids, "agent")]
-    blocked = inspected.where("decision = 'block'").select(*keep, F.lit("block").alias("action"), F.lit("request").alias("kind"), "rules")
-    logged = inspected.where("decision = 'allow' AND size(atlas_hits) > 0").select(*keep, F.lit("log").alias("action"), F.lit("technique").alias("kind"), F.col("atlas_hits").alias("rules"))
-    return blocked if atlas_block else blocked.unionByName(logged)
+
+    def row(action: str, kind: str, rules: Column) -> Column:
+        return F.struct(F.lit(action).alias("action"), F.lit(kind).alias("kind"), rules.alias("rules"))
+
+    found = F.when(F.col("decision") == "block", row("block", "request", F.col("rules")))
+    if not atlas_block:
+        found = found.when(F.size("atlas_hits") > 0, row("log", "technique", F.col("atlas_hits")))
+    return inspected.select(*ids, "agent", F.inline(F.array_compact(F.array(found))))
 
 
 def hit_counts(scanned: DataFrame, hits_col: str) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.body import read_body
-from sluice.functions.decode import decoded_base64
+from sluice.functions.decode import decoded_base64, rot13
 from sluice.functions.identity import fingerprint
 from sluice.functions.normalize import normalize, normalize_each
 from sluice.functions.rules import Rule
-from sluice.functions.scan import scan, scan_atlas
+from sluice.functions.scan import scan_atlas, scan_decoded
 
 MALFORMED = "malformed_json"
 BLOCKED_MESSAGE = "Request blocked: it matches inspection rules."
@@ -26,13 +26,22 @@ _EMPTY = "array<string>"
 PASSED_HEADERS = ("content-type", "authorization", "anthropic-version", "x-api-key")
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with columns that are computed once a row: filters on them are not pushed below, nor are they inlined.
+
+    They come out of a generator that makes one row of each.
+    """
+    return df.drop(*columns).select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def scan_texts(df: DataFrame, text_col: str = "text", extra: Sequence[Rule] = ()) -> DataFrame:
     """Adds scan_text (normalized), dlp_hits (with decoded payloads, normalized too) and atlas_hits."""
-    df = df.withColumn("scan_text", normalize(F.coalesce(F.col(text_col), F.lit(""))))
-    df = df.withColumn("_decoded", normalize_each(decoded_base64(F.col("scan_text"))))
+    text = F.col("scan_text")
+    df = once(df, {"scan_text": normalize(F.coalesce(F.col(text_col), F.lit("")))})
+    df = once(df, {"_texts": F.concat(F.array(text), normalize_each(decoded_base64(text)), F.array(rot13(text)))})
     dlp = [r for r in extra if r.family != "AML"]
     atlas = [r for r in extra if r.family == "AML"]
-    return df.withColumns({"dlp_hits": scan(F.col("scan_text"), F.col("_decoded"), dlp), "atlas_hits": scan_atlas(F.col("scan_text"), atlas)}).drop("_decoded")
+    return once(df, {"dlp_hits": scan_decoded(F.col("_texts"), dlp), "atlas_hits": scan_atlas(text, atlas)}).drop("_texts")
 
 
 def decision(dlp_hits: Column, atlas_hits: Column, atlas_block: bool = False) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sluice.functions.normalize import normalize
 from sluice.functions.rules import Rule
 from sluice.functions.scan import scan_response
+from sluice.operators.requests import once
 
 BLOCKED_MESSAGE = "Response blocked: the model output matches an egress rule."
 STATUS_HEADER, FLAGS_HEADER = "x-inspection", "x-inspection-response-flags"
@@ -25,8 +26,8 @@ def inspect_responses(df: DataFrame, response_block: bool = False, body_col: str
 
     Flags are reported in a header; where responses block, a flagged one becomes a 403 with the rules and without the output.
     """
-    df = df.withColumn("_text", normalize(response_text(F.col(body_col))))
-    df = df.withColumn("response_hits", scan_response(F.col("_text"), extra)).drop("_text")
+    df = once(df, {"_text": normalize(response_text(F.col(body_col)))})
+    df = once(df, {"response_hits": scan_response(F.col("_text"), extra)}).drop("_text")
     flagged = F.size("response_hits") > 0
     header = F.when(flagged, F.create_map(F.lit(FLAGS_HEADER), F.array_join("response_hits", ","))).otherwise(F.create_map(F.lit(STATUS_HEADER), F.lit("clean")))
     status, body = F.col(status_col), F.col(body_col).cast("binary")

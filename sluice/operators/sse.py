@@ -17,6 +17,7 @@ from sluice.functions.gates import candidates
 from sluice.functions.normalize import normalize_each
 from sluice.functions.rules import response_rules
 from sluice.functions.scan import matches
+from sluice.operators.requests import once
 
 WINDOW = 500
 DONE = "[DONE]"
@@ -83,6 +84,6 @@ def scan_sse(df: DataFrame, body_col: str = "body", out_col: str = "sse") -> Dat
     """Adds struct<scanned int, hit_at int, hits array<string>> for each body (string or binary)."""
     body = F.col(body_col)
     text = F.make_valid_utf8(body.cast("binary").cast("string"))
-    df = df.withColumn("_w", _windows(text))
-    df = df.withColumn("_n", normalize_each(F.col("_w.windows")))
-    return df.withColumn(out_col, first_hit(F.col("_w.scanned"), F.col("_w.events"), F.col("_n"))).drop("_w", "_n")
+    df = once(df, {"_w": _windows(text)})
+    df = once(df, {"_n": normalize_each(F.col("_w.windows"))})
+    return once(df, {out_col: first_hit(F.col("_w.scanned"), F.col("_w.events"), F.col("_n"))}).drop("_w", "_n")

@@ -19,7 +19,7 @@ from sluice.operators.responses import FLAGS_HEADER, STATUS_HEADER, inspect_resp
 from sluice.operators.sse import scan_sse
 from sluice.plans.oracle import hit_list, quote, string_list
 from sluice.plans.seeds import seed_texts
-from sluice.sources.exchanges import chat_requests, delta_chunks
+from sluice.sources.exchanges import chat_requests, delta_chunks, read_table
 from sluice.streaming.sse import inspect_chunks
 
 QUERIES = {}
@@ -27,7 +27,7 @@ ORACLE_SQL = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _query(sql: str | None = None):

@@ -46,6 +46,13 @@ def read_exchanges(spark: SparkSession, path: str, format: str = "parquet") -> D
     return lower_headers(df)
 
 
+def read_table(spark: SparkSession, path: str, small: int = 64 << 20) -> DataFrame:
+    """A Parquet table; one of at most `small` bytes that is read in fewer parts than there are cores is dealt to all."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= small and df.rdd.getNumPartitions() < cores else df
+
+
 def lower_headers(df: DataFrame) -> DataFrame:
     """Header names in lower case; of names that then clash the last stays."""
     entries = F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
