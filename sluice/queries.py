@@ -19,8 +19,8 @@ from sluice.operators.responses import FLAGS_HEADER, STATUS_HEADER, inspect_resp
 from sluice.operators.sse import scan_sse
 from sluice.plans.oracle import hit_list, quote, string_list
 from sluice.plans.seeds import seed_texts
-from sluice.sources.exchanges import chat_requests, delta_chunks, read_table
-from sluice.streaming.sse import inspect_chunks
+from sluice.sources.exchanges import CHUNK, chat_requests, delta_chunks, read_table, run_to_table, shared_folder, stream_exchanges
+from sluice.streaming.sse import inspect_chunks, inspect_stream
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -325,6 +325,15 @@ def sse_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect_chunks(delta_chunks(_answers(spark, sf_dir)), block=True).withColumn("hits", _joined("hits"))
 
 
+@_query(_ACTIONS)
+def sse_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the streaming operator: chunks arrive as files, all of a stream's in order."""
+    path = shared_folder(spark, "chunks")
+    delta_chunks(_answers(spark, sf_dir)).write.parquet(path)
+    live = inspect_stream(stream_exchanges(spark, path, schema=CHUNK), block=True, ttl=None)
+    return run_to_table(live, "actions").withColumn("hits", _joined("hits"))
+
+
 _KEYS = ("sk-proj-", "sk-ant-", "sk-", "hf_", "AIza", "gsk_", "dsk-", "xai-", "plain-")
 _AGENTS = ("LangChain/0.3.1 py", "crewai 1.2", "OpenAI/Python 1.40.0", "Anthropic/JS", "autogen", "LlamaIndex", "ollama/0.1", "curl/8.0", "Cursor/1.0")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -80,6 +82,21 @@ def delta_chunks(turns: DataFrame, key: str = "conv_id", role: str = "assistant"
     return turns.where(F.col("role") == role).select(F.col(key).cast("string").alias("stream_id"), F.col("turn").cast("long").alias("seq"), F.concat(F.lit("data: "), delta, F.lit("\n\n")).cast("binary").alias("chunk"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, or in a session without one (a local one) in a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sluice-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream makes of all that is there now, as a table in the shared folder."""
+    spark = stream.sparkSession
+    out, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """Appends findings as JSON lines."""
     findings.write.mode("append").json(path)

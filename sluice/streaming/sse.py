@@ -76,9 +76,14 @@ def _schema(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("stream_id", df.schema["stream_id"].dataType), T.StructField("seq", T.LongType()), T.StructField("action", T.StringType()), T.StructField("hits", T.ArrayType(T.StringType()))])
 
 
-def inspect_stream(chunks: DataFrame, block: bool = False, ttl: str = "1 hour") -> DataFrame:
-    """The operator for a streaming DataFrame; a stream's state is forgotten `ttl` after its last chunk."""
-    millis = int(pd.Timedelta(ttl).total_seconds() * 1000)
+def inspect_stream(chunks: DataFrame, block: bool = False, ttl: str | None = "1 hour") -> DataFrame:
+    """The operator for a streaming DataFrame; a stream's state is forgotten `ttl` after its last chunk.
+
+    With a ttl a query runs batches to look for expired streams until it is stopped; without, one that is triggered for
+    what is available ends.
+    """
+    millis = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -88,11 +93,12 @@ def inspect_stream(chunks: DataFrame, block: bool = False, ttl: str = "1 hour")
         rows = pd.concat(list(batches)).sort_values(["seq", "chunk"], na_position="first", kind="stable")
         done = [(key[0], s, *scanner.act(None if c is None else bytes(c), block)) for s, c in zip(rows["seq"], rows["chunk"], strict=True)]
         state.update((scanner.partial, scanner.window, scanner.tripped))
-        state.setTimeoutDuration(millis)
+        if millis:
+            state.setTimeoutDuration(millis)
         yield pd.DataFrame(done, columns=["stream_id", "seq", "action", "hits"])
 
     chunks = chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"))
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, _schema(chunks), STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, _schema(chunks), STATE, "append", timeout)
 
 
 def inspect_chunks(chunks: DataFrame, block: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Bodies, decisions, responses, event streams, identity, metrics, sources."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from sluice.operators.requests import forwarded, inspect_requests, with_upstream
 from sluice.operators.responses import inspect_responses
 from sluice.operators.sse import scan_sse
 from sluice.plans.gateway import run_gateway
-from sluice.sources.exchanges import CHUNK, EXCHANGE, Options, chat_requests, delta_chunks, lower_headers, read_exchanges, stream_exchanges, stream_findings, write_findings
+from sluice.sources.exchanges import CHUNK, EXCHANGE, Options, chat_requests, delta_chunks, lower_headers, read_exchanges, run_to_table, stream_exchanges, stream_findings, write_findings
 from sluice.streaming.sse import Scanner, inspect_chunks, inspect_stream, terminal_event
 
 TEXTS = [
@@ -172,16 +173,28 @@ def test_chunks(spark, block, want):
     assert inspect_chunks(df.where("false")).count() == 0
 
 
-def test_live_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("ttl", [None, "1 hour"])
+def test_live_stream_equals_batch(spark, tmp_path, ttl):
     """Two micro-batches, a secret split between them."""
     rows = [(s, q, c.encode()) for s, q, c in CHUNKS if c and s]
     for part in (lambda q: q < 2, lambda q: q >= 2):
         spark.createDataFrame([r for r in rows if part(r[1])], CHUNK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     chunks = stream_exchanges(spark, str(tmp_path / "in"), schema=CHUNK, max_files=1)
-    query = inspect_stream(chunks, block=True).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    name = f"live_{ttl is None}"
+    query = inspect_stream(chunks, block=True, ttl=ttl).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).start()
+    until = time.time() + 60
+    while spark.table(name).count() < len(rows) and time.time() < until:  # with a ttl it never runs out of batches
+        time.sleep(0.3)
+    query.stop()
     batch = inspect_chunks(spark.createDataFrame(rows, CHUNK), block=True)
-    assert sorted(map(str, spark.table("live").collect())) == sorted(map(str, batch.collect()))
+    assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_live_stream_ends_without_ttl(spark, tmp_path):
+    rows = [(s, q, c.encode()) for s, q, c in CHUNKS if c and s]
+    spark.createDataFrame(rows, CHUNK).write.parquet(str(tmp_path / "in"))
+    out = run_to_table(inspect_stream(stream_exchanges(spark, str(tmp_path / "in"), schema=CHUNK), ttl=None), "t")
+    assert out.count() == len(rows)
 
 
 def test_requests_as_a_stream_of_findings(spark, tmp_path):
