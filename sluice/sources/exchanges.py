@@ -48,11 +48,12 @@ def read_exchanges(spark: SparkSession, path: str, format: str = "parquet") -> D
     return lower_headers(df)
 
 
-def read_table(spark: SparkSession, path: str, small: int = 64 << 20) -> DataFrame:
-    """A Parquet table; one of at most `small` bytes that is read in fewer parts than there are cores is dealt to all."""
-    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+def read_table(spark: SparkSession, path: str, small: int = 64 << 20, least: int = 256 << 10) -> DataFrame:
+    """A Parquet table; one of at most `small` bytes that is read in few parts is dealt to the cores, `least` bytes each."""
+    df = spark.read.parquet(path)
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size <= small and df.rdd.getNumPartitions() < cores else df
+    parts = min(spark.sparkContext.defaultParallelism, -(-size // least))
+    return df.repartition(parts) if size <= small and df.rdd.getNumPartitions() < parts else df
 
 
 def lower_headers(df: DataFrame) -> DataFrame:
