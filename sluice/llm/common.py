@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes of a table that may be dealt anew to all cores.
-SMALL_TABLE = 64 << 20
+#: Bytes of a table that may be dealt anew to all cores, and the least that a core gets.
+SMALL_TABLE, SMALL_PART = 64 << 20, 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; a small one that its reader splits into fewer parts than there are cores is dealt to all of them."""
-    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_TABLE
-    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
+    """A table; a small one that its reader splits into fewer parts than there are cores is dealt to more of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = min(spark.sparkContext.defaultParallelism, -(-size // SMALL_PART))
+    return df.repartition(parts) if size <= SMALL_TABLE and df.rdd.getNumPartitions() < parts else df
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
