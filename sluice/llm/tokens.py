@@ -1,11 +1,12 @@
 """Token counts of whole texts; huge ones are encoded in overlapping chunks that are spliced where both agree.
 
 A byte-level BPE cuts a text into pre-tokens by a left-to-right pattern in which white space occurs only as the first
-character of a pre-token or in runs of its own, so wherever white space follows another character a pre-token
-starts, whatever stands further left, and what comes before it does not look past it. Such a place is a stable
-boundary. Two chunks are spliced at a stable boundary inside their overlap at which both encodings have a token start
-and from which, up to the next stable boundary in the overlap, both have the same tokens. Where no boundary qualifies,
-the overlap is doubled, in the end to the whole text. Added special strings hold no white space, so no splice cuts one.
+character of a pre-token or in runs of its own, so wherever ASCII white space follows a character that is not white
+space (by Unicode, so U+00A0 is) a pre-token starts, whatever stands further left, and what comes before it does not
+look past it. Such a place is a stable boundary. Two chunks are spliced at a stable boundary inside their overlap at
+which both encodings have a token start and from which, up to the next stable boundary in the overlap, both have the
+same tokens. Where no boundary qualifies, the overlap is doubled, in the end to the whole text. Added special strings
+hold no white space, so no splice cuts one.
 
 Shorter texts are cut at all their stable boundaries, so their counts add up from pieces; a worker remembers the counts
 of the short pieces it has met, and encodes the others.
@@ -33,8 +34,8 @@ OVERLAP = 512
 BATCH_CHARS = 1 << 20
 REMEMBERED, REMEMBERED_CHARS = 500_000, 40
 _STABLE = re.compile(r"(?<=\S)(?=[\x20\x09-\x0d])")
-#: The pieces between stable boundaries: ASCII white space and what follows up to the next, or what ends the text.
-_PIECE = re.compile(r"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+\Z")
+#: The pieces between stable boundaries; where white space is not ASCII, what follows its run belongs to the same piece.
+_PIECE = re.compile(r"\s*\S+(?:[^\S\x20\x09-\x0d]\s*\S*)*|\s+")
 
 
 def default_path() -> str:

@@ -81,6 +81,13 @@ def test_chunked_counts_equal_whole_counts(tokenizer):
         assert tokens.count_long(tokenizer, text, 4096, 64) == len(tokenizer.encode(text, add_special_tokens=False))
 
 
+def test_white_space_that_is_not_ascii_is_no_boundary(tokenizer):
+    rng = random.Random(4)
+    texts = ["Price: \xa0 \xa0 20", "word \xa0 \xa0\n" * 1000]
+    texts += ["".join(rng.choices([" ", "\n", "\xa0", "\u3000", "\x85", "a", "20", "."], k=rng.randint(1, 30))) for _ in range(2000)]
+    assert tokens.count_batch(tokenizer, texts) == [len(tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+
+
 def test_token_counts(spark, tokenizer):
     texts = [None, "", "Hello, world", "héllo <|endoftext|>", "word " * 600, "long text, " * 20_000, "word " * 600]
     df = spark.createDataFrame([(i if i else None, t, "s", 1, "x") for i, t in enumerate(texts)], DOC)
