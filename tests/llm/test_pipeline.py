@@ -46,6 +46,18 @@ def test_line_stage(stages):
     assert all(r.n_chars == len(r.text) for r in stages[2].collect())
 
 
+def test_line_stage_reaches_rare_lines_of_large_sources(spark):
+    passage = " ".join(f"passage{i}" for i in range(60))
+    rows = [(i, "\n".join([f"own line {i}", *[passage] * (i % 500 == 0), *["notice"] * (i % 1000 == 1), *["thrice"] * (i < 3)]), "large") for i in range(5000)]
+    rows += [(9000 + i, f"own line {i}\n{passage}", "small") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = dict(_rows(corpus_pipeline.drop_boilerplate_lines(spark, docs, SF)))
+    want = brute_lines([(s, t) for _, t, s in rows], corpus_pipeline.BOILERPLATE_RATIO, 4)
+    assert [got[d] for d, _, _ in rows] == want
+    assert got[500] == "own line 500" and got[0] == "own line 0\nthrice" and got[1] == "own line 1\nnotice\nthrice"
+    assert got[9000] == rows[5000][1]
+
+
 def test_dedup_stage(stages):
     before = _rows(stages[2])
     component = brute_components([d for d, _ in before], [brute_fingerprint(t) for _, t in before])
