@@ -14,7 +14,7 @@ from sluice.functions.body import read_body
 from sluice.functions.normalize import normalize
 from sluice.functions.rules import all_rules, atlas_rules, request_rules, response_rules, rules_table, secret_rules
 from sluice.operators import metrics
-from sluice.operators.requests import forwarded, inspect_requests, scan_texts, with_upstream_failures
+from sluice.operators.requests import forwarded, inspect_requests, once, scan_texts, with_upstream_failures
 from sluice.operators.responses import FLAGS_HEADER, STATUS_HEADER, inspect_responses
 from sluice.operators.sse import scan_sse
 from sluice.plans.oracle import hit_list, quote, string_list
@@ -121,6 +121,33 @@ def base64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", last(F.col("code")).alias("decoded"), F.when(long, last(lines)).otherwise(last(F.col("code"))).alias("wrapped_decoded"))
 
 
+@_query(f"""WITH s AS (SELECT doc_id, text, {string_list(_LONG_SEEDS)}[CAST(doc_id % {len(_LONG_SEEDS)} AS BIGINT) + 1] AS seed FROM documents),
+e AS (SELECT doc_id, seed, text || chr(10) || 'see ' || to_base64(encode(seed)) AS text FROM s),
+h AS (SELECT doc_id, {hit_list('text', _REQUEST)} AS a, {hit_list('seed', _REQUEST)} AS b, {hit_list(f"translate(text, '{_ROT_FROM}', '{_ROT_TO}')", _REQUEST)} AS c FROM e)
+SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x)), list_filter(c, lambda x: NOT list_contains(a, x) AND NOT list_contains(b, x))), ',') AS hits FROM h""")
+def base64_hits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As base64_hits, with the payload after the document's whole text."""
+    code = F.regexp_replace(F.base64(_pick(_LONG_SEEDS, F.col("doc_id")).cast("binary")), "\r\n", "")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\nsee "), code).alias("text"))
+    return scan_texts(docs).select("doc_id", _joined("dlp_hits").alias("hits"))
+
+
+@_query(r"""WITH s AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS s FROM documents)
+SELECT doc_id, length(s) AS n_chars, sha256(CASE WHEN length(s) >= 18 THEN s ELSE '' END) AS decoded_sha256, sha256(CASE WHEN length(s) >= 18 THEN s ELSE '' END) AS wrapped_sha256 FROM s""")
+def base64_round_trip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As base64_round_trip, over whole texts, wrapped at 76 characters where that makes three lines or more."""
+    return base64_round_trips(_table(spark, sf_dir, "documents"))
+
+
+def base64_round_trips(docs: DataFrame) -> DataFrame:
+    docs = once(docs.select("doc_id", "text"), {"plain": F.regexp_replace("text", r"[^\x20-\x7E]+", "")})
+    docs = once(docs, {"code": F.replace(F.base64(F.col("plain").cast("binary")), F.lit("\r\n"), F.lit(""))})
+    lines = F.regexp_replace("code", "(.{76})(?=.)", "$1\n")
+    last = lambda x: F.sha2(F.coalesce(F.try_element_at(decode.decoded_base64(x), F.lit(-1)), F.lit("")), 256)
+    docs = once(docs, {"wrapped": F.when(F.length("code") > 152, lines).otherwise(F.col("code"))})
+    return docs.select("doc_id", F.length("plain").cast("long").alias("n_chars"), last(F.col("code")).alias("decoded_sha256"), last(F.col("wrapped")).alias("wrapped_sha256"))
+
+
 @_query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
 def normalize_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize(F.col("text")), 256).alias("text_sha256"))
