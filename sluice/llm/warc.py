@@ -3,11 +3,13 @@
 Writing: each page becomes a request, a response or revisit, and a metadata record, tied by WARC-Concurrent-To. Of
 pages with equal payloads (by SHA-1) of at least `min_payload` bytes the one with the largest id is the response,
 the others revisit it; pages with smaller payloads are all responses. A null payload is empty; null ids and URLs leave
-their fields out, and null ids count as smallest. Equal rows are one page. Line breaks in URLs are percent-encoded.
-Archives are gzip files of records, each followed by two line breaks; the text source's line separator writes these.
+their fields out, and null ids count as smallest. Equal rows are pages of their own: one is the response, the others
+revisit it. Line breaks in URLs are percent-encoded. Archives are gzip files of records, each followed by two line
+breaks; the text source's line separator writes these.
 
-Reading: the lines of a file reach one task in order (gzip files are not split), where records are cut out by their
-Content-Length, so payloads may hold anything, record headers included. Memory is that of the largest record.
+Reading: a file, cut at double line breaks, reaches one task in order (gzip files are not split), where records are cut
+out by their Content-Length, so payloads may hold anything, record headers included. Header lines end in CR LF, as the
+standard says. Memory is that of the largest record. A file that ends inside a record loses that record alone.
 
 Assembly: request and metadata records reach their response (or revisit, or resource) through concurrent-to
 identifiers, whichever side names the other and also by way of another record of the transaction; one nested row per
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, remove_folder, shared_folder
+from sluice.llm.common import cut, raw, remove_folder, shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
 #: Records that a capture is built around.
@@ -51,31 +53,42 @@ def _urn(key: Column, kind: str) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substr(h, F.lit(1), F.lit(8)), *[x for at, n in ((9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.lit("-"), F.substr(h, F.lit(at), F.lit(n)))], F.lit(">"))
 
 
-def _record(kind: Column, record_id: Column, content_type: str, block: Column, *headers: tuple[str, Column]) -> Column:
-    """A record without the two line breaks after it; headers with null values are left out."""
+def _head(kind: Column, record_id: Column, content_type: str, size: Column, *headers: tuple[str, Column]) -> Column:
+    """A record's header lines and the empty line after them; headers with null values are left out."""
     lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit(f"WARC-Date: {DATE}"), F.lit(f"Content-Type: {content_type}")]
     lines += [F.concat(F.lit(f"{name}: "), value) for name, value in headers]
-    lines.append(F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
-    return F.concat(F.array_join(F.array_compact(F.array(*lines)), _CRLF), F.lit(_CRLF * 2), block)
+    lines.append(F.concat(F.lit("Content-Length: "), size.cast("string")))
+    return F.concat(F.array_join(F.array_compact(F.array(*lines)), _CRLF), F.lit(_CRLF * 2))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0) -> DataFrame:
-    """The records of all pages, as rows of one string column `value`, a page's three next to each other."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+def _pages(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> tuple[DataFrame, DataFrame]:
+    """(page_id, url, payload, sha, size, key), a row each, and the same without url and payload as a table of its own.
+
+    The key is a hash of id, URL and payload; where rows are equal in these, a running number is added to all keys.
+    """
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     base = base.withColumn("sha", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
-    base = base.withColumn("key", F.to_json(F.struct("page_id", "url", "sha")))
-    narrow = base.select("key", "page_id", "sha", "size")
-    if not narrow.groupBy("key").count().where("count > 1").isEmpty():
-        base = base.dropDuplicates(["key"])
-        narrow = narrow.dropDuplicates(["key"])
+    base = base.withColumn("key", F.md5(F.to_json(F.struct("page_id", "url", "sha")).cast("binary")))
+    narrow = cut(base.select("key", "page_id", "sha", "size"))
+    if narrow.groupBy("key").count().where("count > 1").isEmpty():
+        return base, narrow
+    # numbers are those of rows in a written table, so they hold when a lost executor's work is done again
+    base = cut(base)
+    base = base.withColumn("key", F.concat("key", F.lit("/"), F.monotonically_increasing_id().cast("string")))
+    return base, cut(base.select("key", "page_id", "sha", "size"))
+
+
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0) -> DataFrame:
+    """The records of all pages, as rows of one string column `value`: a page's three, with two line breaks between them."""
+    base, narrow = _pages(pages, id_col, url_col, payload_col)
     large = narrow.where(F.col("size") >= min_payload)
     first = large.groupBy("sha").agg(F.max(F.struct("page_id", "key")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    first = cut(first.select("sha", F.col("top.key").alias("first_key")))
-    revisits = large.select("key", "sha").join(first, "sha").where("key <> first_key").select("key", "first_key")
-    if first.isEmpty():
+    first = cut(first.select("sha", F.col("top.key").alias("first_key"), "n"))
+    again = first.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    revisits = large.select("key", "sha").join(first.select("sha", "first_key"), "sha").where("key <> first_key").select("key", "first_key")
+    if not again:
         revisits = revisits.where("false")
-    elif large.join(first.select("sha"), "sha", "left_semi").count() <= BROADCAST_REVISITS:
+    elif again <= BROADCAST_REVISITS:
         revisits = F.broadcast(revisits)  # so no payload is shuffled; more revisits join by key
     page = base.join(revisits, "key", "left")
     again = F.col("first_key").isNotNull()
@@ -88,12 +101,22 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     told = F.concat(F.lit("fetched-with: sluice\r\n"), F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(_CRLF)), F.lit("")))
     refers = F.when(again, _urn(F.col("first_key"), "response"))
     profile = F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    three = F.array(
-        _record(F.lit("request"), _urn(F.col("key"), "request"), "application/http;msgtype=request", asked, ("WARC-Target-URI", url), ("WARC-Concurrent-To", main)),
-        _record(F.when(again, "revisit").otherwise("response"), main, "application/http;msgtype=response", F.concat(http, F.when(again, "").otherwise(F.col("payload"))), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest), ("WARC-Profile", profile), ("WARC-Refers-To", refers)),
-        _record(F.lit("metadata"), _urn(F.col("key"), "metadata"), "application/warc-fields", told, ("WARC-Target-URI", url), ("WARC-Concurrent-To", main)),
+    body = F.when(again, "").otherwise(F.col("payload"))
+    size = F.octet_length(http) + F.when(again, 0).otherwise(F.col("size"))
+    # one concatenation holds the payload: it is copied once
+    return page.select(
+        F.concat(
+            _head(F.lit("request"), _urn(F.col("key"), "request"), "application/http;msgtype=request", F.octet_length(asked), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main)),
+            asked,
+            F.lit(_CRLF * 2),
+            _head(F.when(again, "revisit").otherwise("response"), main, "application/http;msgtype=response", size, ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest), ("WARC-Profile", profile), ("WARC-Refers-To", refers)),
+            http,
+            body,
+            F.lit(_CRLF * 2),
+            _head(F.lit("metadata"), _urn(F.col("key"), "metadata"), "application/warc-fields", F.octet_length(told), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main)),
+            told,
+        ).alias("value")
     )
-    return page.select(F.explode(three).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0) -> None:
@@ -101,37 +124,35 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 class Parser:
-    """Cuts records out of a file's lines, given in order without their line feeds."""
+    """Cuts records out of a file's bytes, given in order and in pieces of any size."""
 
     def __init__(self) -> None:
-        self.headers: list[bytes] = []
-        self.block: list[bytes] | None = None
-        self.missing = 0
-
-    def feed(self, line: bytes) -> tuple[list[bytes], bytes] | None:
-        """(header lines, block) when the line completes a record."""
-        if self.block is None:
-            line = line.rstrip(b"\r")
-            if line:
-                if not self.headers and not line.startswith(b"WARC/"):
-                    raise ValueError(f"no WARC record starts with {line[:40]!r}")
-                self.headers.append(line)
-                return None
-            if not self.headers:
-                return None
-            length = next((h.partition(b":")[2] for h in self.headers if h[:15].lower() == b"content-length:"), None)
-            if length is None:
-                raise ValueError("a record without Content-Length")
-            self.missing, self.block = int(length), []
-            return self._done() if not self.missing else None
-        self.block.append(line + b"\n" if len(line) < self.missing else line[: self.missing])
-        self.missing -= len(self.block[-1])
-        return self._done() if not self.missing else None
-
-    def _done(self) -> tuple[list[bytes], bytes]:
-        out = self.headers, b"".join(self.block)
-        self.headers, self.block = [], None
-        return out
+        self.held = bytearray()
+        self.headers: list[bytes] | None = None
+        self.length = 0
+
+    def feed(self, piece: bytes) -> Iterator[tuple[list[bytes], bytes]]:
+        """(header lines, block) of every record that the piece completes."""
+        self.held += piece
+        while True:
+            if self.headers is None:
+                start = len(self.held) - len(self.held.lstrip(b"\r\n"))
+                end = self.held.find(b"\r\n\r\n", start)
+                if len(self.held) - start >= 5 and not self.held.startswith(b"WARC/", start):
+                    raise ValueError(f"no WARC record starts with {bytes(self.held[start : start + 40])!r}")
+                if end < 0:
+                    return
+                self.headers = bytes(self.held[start:end]).split(b"\r\n")
+                length = next((h.partition(b":")[2] for h in self.headers if h[:15].lower() == b"content-length:"), None)
+                if length is None:
+                    raise ValueError("a record without Content-Length")
+                self.length = int(length)
+                del self.held[: end + 4]
+            if len(self.held) < self.length:
+                return
+            yield self.headers, bytes(self.held[: self.length])
+            del self.held[: self.length]
+            self.headers = None
 
 
 def _parsed(headers: list[bytes], block: bytes) -> dict:
@@ -154,7 +175,7 @@ def _parsed(headers: list[bytes], block: bytes) -> dict:
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """A row per record, columns RECORD and, if asked for, payload binary (an HTTP message's body, else the block)."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    pieces = spark.read.option("lineSep", _CRLF * 2).text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
     schema = RECORD + (", payload binary" if with_payload else "")
     kinds = {"record_id": pa.string(), "type": pa.string(), "target_uri": pa.string(), "date": pa.string(), "concurrent_to": pa.list_(pa.string()), "refers_to": pa.string(), "content_type": pa.string(), "header_digest": pa.string(), "fields": pa.map_(pa.string(), pa.string()), "payload_bytes": pa.int64(), "payload_digest": pa.string()} | ({"payload": pa.binary()} if with_payload else {})
 
@@ -164,21 +185,22 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, parser, rows, size = None, Parser(), [], 0
         for b in batches:
-            for name, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, piece in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if name != file:
                     file, parser = name, Parser()
-                if got := parser.feed(line):
+                for got in parser.feed(raw(piece) + b"\r\n\r\n"):
                     rows.append(_parsed(*got))
-                    size += rows[-1]["payload_bytes"]
-                    if not with_payload:
+                    if with_payload:
+                        size += rows[-1]["payload_bytes"]
+                    else:
                         del rows[-1]["payload"]
-                    if len(rows) >= 4096 or size >= 1 << 24:
+                    if len(rows) >= 1024 or size >= 1 << 22:
                         yield batch(rows)
                         rows, size = [], 0
         if rows:
             yield batch(rows)
 
-    return lines.mapInArrow(work, schema)
+    return pieces.mapInArrow(work, schema)
 
 
 def assemble(recs: DataFrame) -> DataFrame:

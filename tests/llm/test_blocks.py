@@ -136,26 +136,26 @@ PAGE = "page_id long, url string, html string, value string"
 
 
 def brute_warc(pages, least=0):
-    pages = list(dict.fromkeys(pages))
     groups = {}
-    for i, u, h in pages:
-        groups.setdefault(h or "", []).append(i)
+    for n, (i, _, h) in enumerate(pages):
+        groups.setdefault(h or "", []).append((i is not None, i or 0, n))
     out = []
-    for i, u, h in pages:
-        data = (h or "").encode()
-        ids = [x for x in groups[h or ""] if x is not None]
-        first = i == max(ids, default=None) or len(data) < least
-        out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", None if first else max(ids)))
+    for n, (i, _, h) in enumerate(pages):
+        data, top = (h or "").encode(), max(groups[h or ""])
+        first = top[2] == n or len(data) < least
+        out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", None if first or not top[0] else top[1]))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least,limit", [(0, 50_000), (5, -1)])
-def test_warc_round_trip(spark, least, limit, monkeypatch):
+@pytest.mark.parametrize("least,limit,repeated", [(0, 50_000, False), (0, 50_000, True), (5, -1, True)])
+def test_warc_round_trip(spark, least, limit, repeated, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_REVISITS", limit)
     record = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     html = [None, "", "\n", "\r\n\r\n", "x\r\n\r\n" + record, record, "é😀\x00 zero", "no end", "end\n", "a" * 1_500_000, "abc", "same payload", "same payload"]
     pages = [(i, f"http://h/{i}", h) for i, h in enumerate(html)] + [(50 + i, None, "same payload") for i in range(6)] + [(70, "http://x\r\nInjected: y", ""), (None, "http://null", "same payload")]
-    pages += [(3, "http://h/3", "\r\n\r\n"), (71, "no scheme", "abc")]
+    pages += [(3, "http://h/3", "\r\n\r\n"), (71, "no scheme", "abc")] + [(i, f"http://h/end/{i}", h) for i, h in enumerate(("a\r", "a\r\n", "a\r\n\r", "\r\r\n\r\n\r"), 80)]
+    if repeated:
+        pages += [pages[0], pages[11], pages[11], pages[-1], (71, "other", "abc"), (0, "http://h/0", ""), (None, None, "only null"), (None, None, "only null")]
     df = spark.createDataFrame([(*p, "v") for p in pages], PAGE)
     got = sorted(map(tuple, warc.round_trip(df, min_payload=least).collect()), key=str)
     assert got == brute_warc(pages, least)
@@ -181,7 +181,16 @@ def test_assembly_follows_identifiers_both_ways_and_through_others(spark):
 
 def test_not_an_archive():
     with pytest.raises(ValueError):
-        warc.Parser().feed(b"<html>")
+        list(warc.Parser().feed(b"<html>"))
+
+
+def test_pieces_of_any_size():
+    one = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
+    blocks = [b"", b"\r\n", b"WARC/1.1\r\n\r\n", b"x" * 50, b"\r"]
+    data = b"".join(one % (len(b), b) for b in blocks)
+    for size in (1, 2, 3, 7, 1000):
+        parser = warc.Parser()
+        assert [b for at in range(0, len(data), size) for _, b in parser.feed(data[at : at + size])] == blocks
 
 
 def test_samples_by_hash_agree_with_a_full_sort(spark):
