@@ -213,17 +213,17 @@ def assemble(recs: DataFrame) -> DataFrame:
     anchors = recs.where(F.col("type").isin(*ANCHORS))
     parts = recs.where(~F.col("type").isin(*ANCHORS))
     named = recs.select("record_id", F.explode("concurrent_to").alias("other"))
-    links = cut(named.select(F.col("record_id").alias("part"), "other").union(named.select(F.col("other").alias("part"), F.col("record_id").alias("other"))).distinct())
+    links = named.select(F.col("record_id").alias("part"), "other").union(named.select(F.col("other").alias("part"), F.col("record_id").alias("other"))).distinct()
     ids = anchors.select(F.col("record_id").alias("other"), F.col("record_id").alias("capture_id"))
     is_part = parts.select(F.col("record_id").alias("part"))
     reached = cut(links.join(ids, "other").join(is_part, "part", "left_semi").groupBy("part").agg(F.min("capture_id").alias("capture_id")))
     while True:  # by way of another part, as long as that reaches more
         open_links = links.join(is_part, "part", "left_semi").join(reached.select("part"), "part", "left_anti")
         by = reached.select(F.col("part").alias("other"), "capture_id")
-        more = cut(open_links.join(by, "other").groupBy("part").agg(F.min("capture_id").alias("capture_id")))
+        more = open_links.join(by, "other")
         if more.isEmpty():
             break
-        reached = cut(reached.unionByName(more))
+        reached = cut(reached.unionByName(more.groupBy("part").agg(F.min("capture_id").alias("capture_id"))))
     whole = F.struct(*[F.col(c) for c in recs.columns])
     placed = parts.join(reached, parts.record_id == reached.part, "left").select(F.coalesce("capture_id", "record_id").alias("capture_id"), "type", whole.alias("r"))
     groups = placed.groupBy("capture_id").agg(F.collect_list(F.when(F.col("type") == "request", F.col("r"))).alias("requests"), F.collect_list(F.when(F.col("type") != "request", F.col("r"))).alias("metadata"))
