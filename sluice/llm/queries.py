@@ -18,7 +18,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), block=256, budget=1.5, repeat=2.0)
+    return mixing.mix(table(spark, sf_dir, "documents"), block=128, budget=1.5, repeat=2.0)
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

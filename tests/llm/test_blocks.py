@@ -39,7 +39,7 @@ def test_mix(spark, block):
     rows += [(None, "x y", "a"), (300, None, "a"), (301, "", "empty"), (302, " \n", "empty"), (303, "long " * 9000, "d"), (304, "one", "tiny"), (5, rows[5][1], rows[5][2]), (5, rows[5][1], rows[5][2])]
     df = spark.createDataFrame([(*r, 7, "q") for r in rows], DOC)
     out = mixing.mix(df, block=block, shard_slots=50)
-    assert out.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "n_pieces", "first_shard", "last_shard"]
     got = out.collect()
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(i), words(t)) for i, t, _ in rows)
@@ -69,13 +69,76 @@ def test_permutations_and_their_inverse(spark):
     assert [r.y for r in y] != list(range(n))
 
 
-def test_shard_counts_are_spread(spark):
-    df = spark.createDataFrame([(i, "w " * 50, "ab"[i % 2], 0, "") for i in range(400)], DOC)
-    documents, pieces = mixing.plan(df, block=4)
-    drawn = mixing.slots(documents, block=4, shard_slots=200).groupBy("shard", "sid").count().collect()
-    counts = [r["count"] for r in drawn]
-    assert len({r.shard for r in drawn}) >= 30 and min(counts) > 0
-    assert sum(counts) == pytest.approx(1.5 * 400 * 50 / 4, abs=2)
+def _drawn(spark, q, shard_slots, seed):
+    sources = spark.createDataFrame(list(enumerate(q)), "sid long, q long")
+    drawn, shards = mixing.draw(sources, shard_slots, seed)
+    counts = np.zeros((shards, len(q)), int)
+    for r in drawn.groupBy("shard", "sid").count().collect():
+        counts[r.shard, r.sid] = r["count"]
+    return counts
+
+
+def test_drawn_counts_fit_the_multinomial(spark):
+    q = [1000, 10, 5000, 1, 400, 3589]
+    total, shard_slots = sum(q), 100
+    counts = np.concatenate([_drawn(spark, q, shard_slots, seed) for seed in range(4)])
+    assert len(counts) == 4 * 100 and (counts.sum(1) == shard_slots).all()
+    p = np.array(q) / total
+    mean, var = shard_slots * p, shard_slots * p * (1 - p)
+    assert (np.abs(counts.mean(0) - mean) < 4.5 * np.sqrt(var / len(counts))).all()
+    assert (np.abs(counts.var(0)[p > 0.03] / var[p > 0.03] - 1) < 0.35).all()
+    covariance = np.cov(counts[:, 0], counts[:, 2])[0, 1]
+    assert covariance == pytest.approx(-shard_slots * p[0] * p[2], abs=2.5)
+    assert not np.array_equal(counts[:100], counts[100:200])
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_slots_match_the_drawn_counts(spark, monkeypatch, broadcast):
+    """A source's slots in a shard are those it drew there, but for those left out or thrown after the draw."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    df = spark.createDataFrame([(i, "w " * (50 if i % 4 else 300), "abc"[i % 3], 0, "") for i in range(400)], DOC)
+    documents, _ = mixing.plan(df, block=4)
+    wanted = mixing.due(documents, block=4).collect()
+    due, blocks = {r.sid: r.q for r in wanted}, {r.sid: r.n for r in wanted}
+    sources = spark.createDataFrame(sorted(due.items()), "sid long, q long")
+    drawn, shards = mixing.draw(sources, 200)
+    drew = {(r.sid, r.shard): r["count"] for r in drawn.groupBy("sid", "shard").count().collect()}
+    rows = mixing.slots(documents, block=4, shard_slots=200).collect()
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows) == sum(due.values())
+    for sid, q in due.items():
+        mine = [r for r in rows if r.sid == sid]
+        number = {}
+        for shard in range(shards):
+            kept = sum(r.shard == shard and r.slot < 200 for r in mine)
+            left = q - sum(number.values())
+            assert kept == min(drew.get((sid, shard), 0), left)
+            number[shard] = kept
+        # whole rounds through all blocks, then distinct blocks
+        seen = {}
+        for r in mine:
+            seen[r.block_index] = seen.get(r.block_index, 0) + 1
+        assert sorted(seen.values(), reverse=True) == [q // blocks[sid] + (i < q % blocks[sid]) for i in range(min(q, blocks[sid]))]
+
+
+def test_mixed_texts_hold_the_taken_words(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(i % 23)), "abc"[i % 3], 0, "") for i in range(120)] + [(7, "d7 again", None, 0, ""), (200, None, "a", 0, "")]
+    df = spark.createDataFrame(rows, DOC)
+    taken = {}
+    for r in mixing.mix(df, block=8, shard_slots=16).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    found = {}
+    texts = mixing.mixed_texts(df, block=8, shard_slots=16).collect()
+    assert all(1 <= len(t.text.split()) <= 8 for t in texts)
+    for t in texts:
+        for w in t.text.split():
+            d = 7 if w == "again" else int(re.match(r"d(\d+)", w)[1])
+            found[d] = found.get(d, 0) + 1
+    assert found == {d: n for d, n in taken.items() if n}
+    # a slot's words follow each other in its source's stream: those of one document are consecutive
+    for t in texts:
+        for d in {re.match(r"d(\d+)", w)[1] for w in t.text.split() if w.startswith("d") and "w" in w}:
+            places = [int(w.split("w")[1]) for w in t.text.split() if w.startswith(f"d{d}w")]
+            assert places == list(range(places[0], places[0] + len(places)))
 
 
 def test_mix_of_nothing(spark):
