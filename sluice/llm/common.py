@@ -52,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of `df` has one of them (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    tail = ""
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Join condition over equally named columns in which null equals null."""
     return reduce(Column.__and__, (left[n].eqNullSafe(right[n]) for n in names))

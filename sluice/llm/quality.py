@@ -2,19 +2,22 @@
 
 Two hashed n-gram models, bags of byte n-grams in a fixed number of buckets, are fitted: the target's from labelled
 good documents (a bounded sample, see `max_target`), the raw text's from all documents. A document's importance is the
-log ratio of its likelihoods under the two; Gumbel noise, a hash of seed and id, is added, and the k largest sums stay:
-a draw of k documents without replacement by importance. Sums and noise are taken per n-gram, so that long documents
-are no more likely to stay than short ones of the same make. k is given, or the number of documents whose importance
-per n-gram reaches a margin: that which all but `spare` of the target documents reach, at most MARGIN. The k-th
-largest is found exactly by radix selection, 16 bits of the sums a round.
-
-Null and short texts without an n-gram have importance 0 and stay. Rows with equal ids get equal noise; ties with the k-th
-largest all stay, so repeated rows stay or go together. No target documents: the models are equal and importance is 0.
-An empty table gives no rows.
+log ratio of its likelihoods under the two, tempered for long ones: evidence of more than EVIDENCE n-grams counts like
+that of so many, so that a document's length alone decides little. Standard Gumbel noise, a hash of seed and id, is
+added to the importance, and the k largest sums stay: a draw of k documents without replacement, with weights
+exp(importance). k is given, or a share of the documents with an n-gram: that of label 1 among all labelled rows, plus
+two standard errors of it, since a good document lost costs more than a poor one kept. The k-th largest is found
+exactly by radix selection, 16 bits of the sums a round.
+
+Null and short texts without an n-gram have importance 0, take no part in the draw and stay: `selected` is true. Rows
+with equal ids get equal noise; ties with the k-th largest all stay, so repeated rows stay or go together. Labels other
+than 0 and 1 are none. Without labels the models are equal, importance is 0 and k is all. An empty table gives no rows.
+Texts of any length are worked through in pieces. Columns of `docs` may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import cut, raw, smallest_hashes
+from sluice.llm.common import cut, raw, smallest_hashes, unused
 
 #: log2 of the buckets; n-gram lengths in bytes (up to 8).
 BUCKET_BITS = 16
 LENGTHS = (4, 8)
 #: Occurrences of each bucket that the target model takes from the raw model, so that what it hasn't seen counts little.
 PRIOR = 8.0
-#: Importance per n-gram below zero that no labelled document needs to earn, and the part of the target that may miss the cut.
-MARGIN = -0.02
-SPARE = 0.002
+#: N-grams whose evidence counts in full; that of more is scaled down to so many.
+EVIDENCE = 256
+#: Standard errors of the share of good labels that k is above it.
+ERRORS = 2.0
 #: Labelled documents used for the target model at most: those with the smallest hash of their id.
 MAX_TARGET = 20_000
 #: Bytes of a text that are worked on at once.
@@ -100,31 +104,38 @@ def log_ratio(docs: DataFrame, target: DataFrame, text_col: str = "text", bits:
     return _log_ratio(model(target), model(docs), bits).astype(np.float32)
 
 
-def _scored(df: DataFrame, text_col: str, weights: np.ndarray, bits: int, lengths: tuple[int, ...], keep_text: bool) -> DataFrame:
-    """`df`, with its text column or without, and __importance and __grams of the text."""
+def _scored(df: DataFrame, text_col: str, weights: np.ndarray, bits: int, lengths: tuple[int, ...], keep_text: bool, ratio: str, grams: str) -> DataFrame:
+    """`df`, with its text column or without, and columns `ratio` (log ratio of the whole text) and `grams` (its n-grams)."""
     weight = df.sparkSession.sparkContext.broadcast(weights)
     text_at = df.columns.index(text_col)
     kept = [i for i in range(len(df.columns)) if keep_text or i != text_at]
-    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField("__importance", T.DoubleType()), T.StructField("__grams", T.LongType())])
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(ratio, T.DoubleType()), T.StructField(grams, T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            value, grams = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            value, count = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
             for i, text in enumerate(b.column(text_at)):
                 for g in _grams(raw(text), bits, lengths):
                     value[i] += weight.value[g].sum(dtype=np.float64)
-                    grams[i] += len(g)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(value), pa.array(grams)], schema.names)
+                    count[i] += len(g)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(value), pa.array(count)], schema.names)
 
     return df.mapInArrow(work, schema)
 
 
-def _keyed(scored: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """With __key (importance + noise, per n-gram) and __step: the key in steps of 2**-32, as a non-negative long."""
-    noise = gumbel(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    key = (F.col("__importance") + noise) / F.greatest("__grams", F.lit(1))
-    step = F.round(F.greatest(F.least(key, F.lit(float(1 << 20))), F.lit(-float(1 << 20))) * float(1 << 32)).cast("long") + F.lit(1 << 61).cast("long")
-    return scored.withColumn("__key", key).withColumn("__step", step)
+def importance(ratio: Column, grams: Column, evidence: int = EVIDENCE) -> Column:
+    return ratio * F.least(F.lit(1.0), F.lit(float(evidence)) / F.greatest(grams, F.lit(1)))
+
+
+def drawn_key(value: Column, id_: Column, seed: int) -> Column:
+    """Importance and noise."""
+    return value + gumbel(seed, F.coalesce(id_.cast("string"), F.lit("null")))
+
+
+def _step(key: Column) -> Column:
+    """The key in steps of 2**-32, as a non-negative long."""
+    bounded = F.greatest(F.least(key, F.lit(float(1 << 20))), F.lit(-float(1 << 20)))
+    return F.round(bounded * float(1 << 32)).cast("long") + F.lit(1 << 61).cast("long")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
@@ -147,38 +158,50 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
 
 def target_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_target: int = MAX_TARGET) -> DataFrame:
     """The documents whose label is 1, `max_target` ids of them at most, chosen by a hash of the id."""
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
-    chosen = smallest_hashes(good, "__id", max_target)
-    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id"), "left_semi")
+    (own,) = unused(docs, "good_id")
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias(own)).where(F.col(own).isNotNull()).distinct()
+    chosen = smallest_hashes(good, own, max_target)
+    return docs.join(F.broadcast(chosen), docs[id_col] == F.col(own), "left_semi")
+
+
+def good_share(labels: DataFrame, label_col: str = "quality", errors: float = ERRORS) -> float:
+    """The share of label 1 among all labels 0 and 1, plus `errors` standard errors; 1 without labels."""
+    n, good = labels.where(F.col(label_col).isin(0, 1)).agg(F.count("*"), F.sum(F.col(label_col).cast("long"))).first()
+    if not n:
+        return 1.0
+    share = good / n
+    return min(1.0, share + errors * (share * (1 - share) / n) ** 0.5)
 
 
-def _draw(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int | None, seed: int, max_target: int, spare: float) -> tuple[np.ndarray, DataFrame, int | None, int]:
-    """(weights by bucket, scores of all rows, the least __step that stays or None for all, k)."""
-    target = cut(target_rows(docs, labels, id_col, label_col, max_target).select(F.col(id_col), F.col(text_col)))
+def _draw(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int | None, seed: int, max_target: int) -> tuple[np.ndarray, DataFrame, int | None, int]:
+    """(weights by bucket, scores of all rows, the least step that stays or None for all, k)."""
+    target = cut(target_rows(docs, labels, id_col, label_col, max_target).select(F.col(text_col)))
     weights = log_ratio(docs, target, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    scored = _keyed(_scored(rows, "text", weights, BUCKET_BITS, LENGTHS, False), "id", seed)
-    scored = cut(scored.withColumn("__mean", F.col("__importance") / F.greatest("__grams", F.lit(1))))
+    scored = _scored(rows, "text", weights, BUCKET_BITS, LENGTHS, False, "ratio", "grams").withColumn("importance", importance(F.col("ratio"), F.col("grams")))
+    scored = scored.withColumn("key", drawn_key(F.col("importance"), F.col("id"), seed))
+    scored = cut(scored.withColumn("step", _step(F.col("key"))))
+    drawn_from = scored.where("grams > 0")
     if k is None:
-        wanted = target.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-        reached = scored.join(wanted, ["id", "text_hash"], "left_semi").agg(F.percentile_approx("__mean", spare, 10_000)).first()[0]
-        k = scored.where(F.col("__mean") >= min(MARGIN, MARGIN if reached is None else reached)).count()
-    return weights, scored, kth_largest(scored, "__step", k), k
+        k = math.ceil(good_share(labels, label_col) * drawn_from.count())
+    return weights, scored, kth_largest(drawn_from, "step", k), k
 
 
-def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, seed: int = 11, max_target: int = MAX_TARGET, spare: float = SPARE) -> DataFrame:
-    """id, text_hash, importance, grams, key (importance + noise, per n-gram), selected per row of `docs`."""
-    _, scored, least, k = _draw(docs, labels, id_col, text_col, label_col, k, seed, max_target, spare)
-    selected = F.lit(k > 0) if least is None else F.col("__step") >= least
-    return scored.select("id", "text_hash", F.col("__importance").alias("importance"), F.col("__grams").alias("grams"), F.col("__key").alias("key"), selected.alias("selected"))
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, seed: int = 11, max_target: int = MAX_TARGET) -> DataFrame:
+    """id, text_hash, importance, grams, key (importance + noise), selected per row of `docs`."""
+    _, scored, least, k = _draw(docs, labels, id_col, text_col, label_col, k, seed, max_target)
+    stays = F.lit(k > 0) if least is None else F.col("step") >= least
+    return scored.select("id", "text_hash", "importance", "grams", "key", (stays | (F.col("grams") == 0)).alias("selected"))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 11, max_target: int = MAX_TARGET, spare: float = SPARE) -> DataFrame:
-    """The rows of `docs`, all columns, that the draw selects; rows without an n-gram stay.
+def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, seed: int = 11, max_target: int = MAX_TARGET) -> DataFrame:
+    """The rows of `docs`, all columns, that `select` selects.
 
     Whether a row stays depends on it and the cut alone, so rows are scored again where they are and none is shuffled.
     """
-    weights, _, least, k = _draw(docs, labels, id_col, text_col, label_col, None, seed, max_target, spare)
-    scored = _keyed(_scored(docs, text_col, weights, BUCKET_BITS, LENGTHS, True), id_col, seed)
-    stays = F.lit(k > 0) if least is None else F.col("__step") >= least
-    return scored.where(stays | (F.col("__grams") == 0)).select(*docs.columns)
+    weights, _, least, k = _draw(docs, labels, id_col, text_col, label_col, k, seed, max_target)
+    ratio, grams = unused(docs, "ratio", "grams")
+    scored = _scored(docs, text_col, weights, BUCKET_BITS, LENGTHS, True, ratio, grams)
+    key = drawn_key(importance(F.col(ratio), F.col(grams)), F.col(id_col), seed)
+    stays = F.lit(k > 0) if least is None else _step(key) >= least
+    return scored.where(stays | (F.col(grams) == 0)).select(*docs.columns)

@@ -1,6 +1,7 @@
 """Quality, toxicity, decontamination, token counts: against brute force, held-out labels, and on odd input."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -120,33 +121,53 @@ def test_quality_keeps_good_documents_and_equals_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, _junk(rng) if i % 4 == 0 else _good(rng), "s", 1, "x") for i in range(400)]
     rows += [(None, None, None, None, None), (500, "", "s", 1, "x"), (501, "ab", "s", 1, "x"), (1, rows[1][1], "s", 1, "x"), (502, _good(rng) * 500, "s", 1, "x")]
-    df = spark.createDataFrame(rows, DOC)
-    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1) for i in range(0, 200)] + [(None, 1), (3, None), (1, 1)], "doc_id long, quality int")
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], DOC + ", grams int, RATIO int")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1) for i in range(0, 200)] + [(None, 1), (3, None), (1, 1), (2, 7)], "doc_id long, quality int")
     out = quality.select(df, labels).collect()
     assert len(out) == len(rows)
+    # importance by brute force: counts of byte n-grams, one model per length
+    grams = lambda t: list(quality._grams((t or "").encode(), 16, (4, 8)))
+    count = lambda texts: sum((np.bincount(g, minlength=2 << 16) for t in texts for g in grams(t)), np.zeros(2 << 16))
+    good = [t for i, t, *_ in rows if i is not None and i < 200 and i % 4]
+    ratio = quality._log_ratio(count(good), count([r[1] for r in rows]), 16).astype(np.float32)
+    at = {r.id: r for r in out}
+    for i, text, *_ in rows:
+        n = sum(map(len, grams(text)))
+        whole = sum(ratio[g].sum(dtype=np.float64) for g in grams(text))
+        assert at[i].grams == n and at[i].importance == pytest.approx(whole * min(1, 256 / max(n, 1)), abs=1e-6)
+    # the draw by brute force: the k largest keys of rows with n-grams, and all rows without
+    share = 152 / 202
+    k = math.ceil(min(1, share + 2 * (share * (1 - share) / 202) ** 0.5) * sum(r.grams > 0 for r in out))
+    least = sorted((r.key for r in out if r.grams), reverse=True)[k - 1]
+    assert all(r.selected == (r.grams == 0 or r.key >= least - 1e-9) for r in out)
+    assert all(abs(r.key - r.importance) < 30 for r in out) and np.std([r.key - r.importance for r in out]) > 1
     kept = quality.keep_selected(df, labels)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == df.columns
+    assert sorted(map(str, ids)) == sorted(str(r.id) for r in out if r.selected)
     assert {None, 500, 501, 502} <= set(ids) and ids.count(1) == 2
-    assert not [i for i in ids if i is not None and i < 400 and i % 4 == 0]
-    assert len([i for i in ids if i is not None and i < 400]) >= 297
-    # importance by brute force: counts of byte n-grams, one model per length
-    count = lambda texts: sum((np.bincount(g, minlength=2 << 16) for t in texts for g in quality._grams((t or "").encode(), 16, (4, 8))), np.zeros(2 << 16))
-    good = [t for i, t, *_ in rows if i is not None and i < 200 and i % 4]
-    ratio = quality._log_ratio(count(good), count([r[1] for r in rows]), 16).astype(np.float32)
-    at = {r.id: r.importance for r in out}
-    for i in (0, 1, 5, 399, 502):
-        text = next(r[1] for r in rows if r[0] == i)
-        assert at[i] == pytest.approx(sum(ratio[g].sum(dtype=np.float64) for g in quality._grams(text.encode(), 16, (4, 8))), abs=1e-6)
+    assert len([i for i in ids if i is not None and i < 400 and i % 4]) >= 299
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Of three rows with weights 1, 2, 5 the largest key is drawn that often, over many independent draws."""
+    n = 6000
+    df = spark.range(3 * n).select((F.col("id") % n).alias("draw"), F.floor(F.col("id") / n).alias("item"), "id")
+    weight = F.array(*[F.lit(float(np.log(w))) for w in (1, 2, 5)])[F.col("item")]
+    top = df.withColumn("key", quality.drawn_key(weight, F.col("id"), 3)).groupBy("draw").agg(F.max_by("item", "key").alias("item"))
+    got = {r.item: r["count"] / n for r in top.groupBy("item").count().collect()}
+    for item, p in enumerate((1 / 8, 2 / 8, 5 / 8)):
+        assert abs(got[item] - p) < 4.5 * (p * (1 - p) / n) ** 0.5
 
 
 def test_quality_with_a_given_k_and_without_target(spark):
     rng = random.Random(7)
-    df = spark.createDataFrame([(i, _good(rng), "s", 1, "x") for i in range(50)], DOC)
+    df = spark.createDataFrame([(i, _good(rng), "s", 1, "x") for i in range(50)] + [(50, "ab", "s", 1, "x")], DOC)
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert quality.select(df, labels, k=20).where("selected").count() == 20
-    assert quality.select(df, labels).where("selected").count() == 50
-    assert quality.select(df, labels, k=0).where("selected").count() == 0
+    chosen = lambda **more: {r.id for r in quality.select(df, labels, **more).where("selected").collect()}
+    draws = [chosen(k=20, seed=s) for s in (1, 2, 3)]
+    assert all(len(d) == 21 and 50 in d for d in draws) and draws[0] != draws[1] and chosen(k=20, seed=1) == draws[0]
+    assert len(chosen()) == 51 and chosen(k=0) == {50}
     assert quality.select(df.where("false"), labels).count() == 0
 
 
