@@ -1,9 +1,16 @@
 """SimHash near-duplicates: fingerprints, pigeonring candidate search, classes.
 
 A text is lower-cased (A-Z only) and cut into words at ASCII white space; its shingles are `shingle` consecutive
-words joined by one space, repeats included. A text with fewer words has one shingle, all its words; one without
-words (null, empty, white space) has fingerprint 0 and is linked like any other. Repeated rows share a class, and
-rows with a null id keep their class but never name it unless every id in it is null.
+words joined by one space. A text with fewer words has one shingle, all its words; one without words (null, empty,
+white space) has none.
+
+`classes` links whole fingerprints (over all shingles, repeats included; 0 without words, linked like any other) within
+a number of bits. `similar_classes` links texts whose sets of shingles have a Jaccard similarity of `similarity` or
+more, which flips too many bits of one fingerprint for a join: a text gets a ring of segments, each the fingerprint of
+a narrow group of its shingles, and segments either agree or differ.
+
+Repeated rows share a class, and rows with a null id keep their class but never name it unless every id in it is null.
+Texts of any length are read whole, in pieces. No rows give no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,14 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import connected_components, cut, raw, same
+from sluice.llm.common import connected_components, cut, raw, same, unused
 
 SEED = 42
 BITS = 64
 #: Long texts are worked through in pieces of about this many bytes.
 PIECE = 1 << 20
-#: Keys of dropped rows up to this many are broadcast (about 40 bytes each).
+#: Segments of a text's ring, how many may differ, and the fewest shingles that a segment is of on average.
+SEGMENTS, DIFFERING, GROUP = 16, 12, 2
+#: Keys of dropped or compared rows up to this many are broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
+_DEAL = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -42,26 +52,65 @@ def _pieces(text: bytes, size: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, piece: int = PIECE) -> int:
-    """The fingerprint of one UTF-8 text as an unsigned 64-bit integer."""
-    ones, n, carry = np.zeros(BITS, np.int64), 0, []
+def _hashes(text: bytes | None, shingle: int, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles in order, in pieces of bounded size."""
+    some, carry = False, []
     for part in _pieces((text or b"").lower(), piece):
         words = carry + part.split()
         if len(words) >= shingle:
-            n += _add(map(b" ".join, zip(*(words[i:] for i in range(shingle)))), len(words) - shingle + 1, ones)
-            carry = words[len(words) - shingle + 1 :]
+            yield _hash(map(b" ".join, zip(*(words[i:] for i in range(shingle)))), len(words) - shingle + 1)
+            some, carry = True, words[len(words) - shingle + 1 :]
         else:
             carry = words
-    if not n and carry:
-        n = _add([b" ".join(carry)], 1, ones)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]) if n else 0
+    if not some and carry:
+        yield _hash([b" ".join(carry)], 1)
+
+
+def _hash(shingles, count: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, count)
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _majority(ones: np.ndarray, n) -> np.ndarray:
+    return np.packbits(ones * 2 > n, axis=-1, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = 4, piece: int = PIECE) -> int:
+    """The fingerprint of one UTF-8 text as an unsigned 64-bit integer."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in _hashes(text, shingle, piece):
+        n += len(h)
+        for at in range(0, len(h), 1 << 16):
+            ones += _bits(h[at : at + (1 << 16)]).sum(0, dtype=np.uint32)
+    return int(_majority(ones, n)[0]) if n else 0
+
+
+def shingle_set(text: bytes | None, shingle: int = 5, piece: int = PIECE) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(h) for h in _hashes(text, shingle, piece))]))
+
 
+def level(n: int) -> int:
+    """log2 of the groups that n shingles are dealt to: GROUP to twice as many shingles in each on average."""
+    return max(0, (n // GROUP).bit_length() - 1)
 
-def _add(shingles, count: int, ones: np.ndarray) -> int:
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, count)
-    for at in range(0, count, 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return count
+
+def ring(h: np.ndarray, at_level: int) -> np.ndarray:
+    """Fingerprints of the first SEGMENTS of 2**level groups of distinct shingles, dealt by hash; 0 for an empty one."""
+    m = min(SEGMENTS, 1 << at_level)
+    group = (h * _DEAL) >> np.uint64(64 - at_level) if at_level else np.zeros(len(h), np.uint64)
+    mine = group < m
+    h, group = h[mine], group[mine].astype(np.int64)
+    out = np.zeros(m, np.uint64)
+    if len(h):
+        order = np.argsort(group, kind="stable")
+        first = np.concatenate([[0], np.nonzero(np.diff(group[order]))[0] + 1])
+        n = np.diff([*first, len(h)])
+        out[group[order][first]] = _majority(np.add.reduceat(_bits(h[order]).astype(np.int64), first, axis=0), n[:, None]).ravel()
+    return out
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -115,11 +164,19 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     """`id`, `text_hash`, `fp`, `root` (smallest fp of the class) and `component_id` (its smallest id) per row of `df`."""
     rows = cut(fingerprints(df, id_col, text_col, shingle))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    roots = cut(connected_components(pigeonring_pairs(nodes, tau)))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = cut(placed.select("fp", "root").join(least, "root"))  # a table of its own, so that a hot fingerprint's partition can be split
-    return rows.join(named, "fp").select("id", "text_hash", "fp", "root", "component_id")
+    return rows.join(_named(nodes, "fp", pigeonring_pairs(nodes, tau)), "fp").select("id", "text_hash", "fp", "root", "component_id")
+
+
+def _named(nodes: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """`key`, root and component_id of every row of `nodes` (key, id), as a table of its own.
+
+    What is joined to a large class or a frequent key is a table, not an aggregate of the same shuffle, so that the
+    class's partition can be split.
+    """
+    roots = cut(connected_components(pairs).withColumnRenamed("node", "member"))
+    placed = nodes.join(roots, nodes[key] == roots.member, "left").select(key, "id", F.coalesce("root", key).alias("root"))
+    least = cut(placed.groupBy("root").agg(F.min("id").alias("component_id")))
+    return cut(placed.select(key, "root").join(least, "root"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4) -> DataFrame:
@@ -127,21 +184,119 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return classes(df, id_col, text_col, shingle, tau).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4) -> DataFrame:
-    """The rows of `df`, all columns, without those near another: of each class the smallest id stays (null last).
+def rings(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """id, text_hash, node (128-bit hash of the set of shingles), n (its size), rings (level, segments) per row of `df`.
+
+    A text whose size is so near the next level's that a similar one may be there has a ring of that level too.
+    """
+    one = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("segments", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("rings", T.ArrayType(one))])
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("segments", pa.list_(pa.int64()))]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, found = [], [], []
+            for x in b.column(2):
+                h = shingle_set(raw(x), shingle)
+                nodes.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                levels = sorted({level(len(h)), level(int(len(h) / similarity + 1e-9))}) if len(h) else []
+                found.append([{"level": i, "segments": ring(h, i).view(np.int64)} for i in levels])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, kind)], schema.names)
+
+    text = F.col(text_col)
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(work, schema)
+
+
+def _chain(a: Column, b: Column, differing: float) -> Column:
+    """Whether some segment starts a chain all of whose beginnings, l segments long, have at most l * `differing` that differ."""
+    m = F.size(a)
+    differ = F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
+    sums = F.transform(F.sequence(F.lit(1), m), lambda n: F.aggregate(F.slice(F.concat(differ, differ), 1, n), F.lit(0), lambda s, x: s + x))
+    twice = F.concat(F.array(F.lit(0)), sums, F.transform(sums, lambda x: x + F.element_at(sums, -1)))  # differences before each place, twice round
+    at = lambda i: F.get(twice, i)
+    return F.exists(F.sequence(F.lit(0), m - 1), lambda i: F.forall(F.sequence(F.lit(1), m), lambda n: at(i + n) - at(i) <= F.floor(n * differing + 1e-9)))
+
+
+def similar_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Candidate links (node, other) between rows of `nodes` (node, n, rings).
+
+    Texts that have a segment in common meet in its bucket, as a star: each is linked to the bucket's most connected
+    member, the one that shares its segments with most others (of a text and its edited copies that is the text, and
+    edited copies of one text are more like it than like each other). The pigeonring condition on the two rings prunes:
+    if at most DIFFERING of SEGMENTS differ, some chain stays within its share of them at every length. So does size.
+    """
+    ring_rows = nodes.select("node", F.explode("rings").alias("r")).select("node", "r.level", F.posexplode("r.segments").alias("start", "fp")).where("fp <> 0")
+    bucket = ["level", "start", "fp"]
+    sizes = cut(ring_rows.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1"))
+    shared = cut(ring_rows.join(sizes, bucket))
+    known = cut(shared.groupBy("node").agg(F.sum("size").alias("weight")))
+    top = shared.join(known, "node").groupBy(*bucket).agg(F.max(F.struct("weight", "node")).alias("top"))
+    top = cut(top.select(*bucket, F.col("top.node").alias("other")))
+    links = shared.join(top, bucket).where("node <> other").select("node", "other").distinct()
+    left = nodes.select("node", F.col("n").alias("n1"), F.col("rings").alias("r1"))
+    right = nodes.select(F.col("node").alias("other"), F.col("n").alias("n2"), F.col("rings").alias("r2"))
+    links = links.join(left, "node").join(right, "other").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9)
+    chained = F.exists("r1", lambda x: F.exists("r2", lambda y: (x["level"] == y["level"]) & _chain(x["segments"], y["segments"], DIFFERING / SEGMENTS)))
+    return links.where(chained).select("node", "other")
+
+
+def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """node and its shingles' hashes, read from one row of `df` (id, text_hash) each in `wanted`."""
+    schema = "node binary, shingles array<long>"
 
-    Of equal ids in a class the smaller fingerprint and text hash stays, and of equal rows one.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(raw(x), shingle) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    it = F.col("id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_hash"))
+    wanted = wanted.select(F.col("id").alias("want_id"), F.col("text_hash").alias("want_hash")).distinct()
+    found = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, it, "left_semi")
+    return found.select("text").mapInArrow(work, schema).dropDuplicates(["node"])
+
+
+def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`id`, `text_hash`, `node`, `root` (smallest node of the class) and `component_id` (its smallest id) per row of `df`.
+
+    Every link that makes a class is one of equal sets of shingles or of sets whose similarity has been computed whole.
     """
-    of = cut(classes(df, id_col, text_col, shingle, tau))
-    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "text_hash")).alias("x")).select("x.id", "x.text_hash")
+    rows = cut(rings(df, id_col, text_col, shingle, similarity))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
+    nodes = cut(rows.groupBy("node").agg(first, F.any_value("n").alias("n"), F.any_value("rings").alias("rings")))
+    links = cut(similar_pairs(nodes, similarity))
+    ends = links.select("node").union(links.select("other")).distinct()
+    sets = cut(_sets(df, nodes.join(ends, "node", "left_semi").select("first.id", "first.text_hash"), id_col, text_col, shingle))
+    other = sets.select(F.col("node").alias("other"), F.col("shingles").alias("others"))
+    both = F.size(F.array_intersect("shingles", "others"))
+    alike = links.join(sets, "node").join(other, "other").where(both >= (F.size("shingles") + F.size("others") - both) * similarity - 1e-9)
+    named = _named(nodes.select("node", F.col("first.id").alias("id")), "node", alike.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    return rows.select("id", "text_hash", "node").join(named, "node").select("id", "text_hash", "node", "root", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4) -> DataFrame:
+    """The rows of `df`, all columns, without those whose fingerprint is near another's: of each class the smallest id
+    stays (null last). Of equal ids in a class the smaller fingerprint and text hash stays, and of equal rows one."""
+    return _keep(df, cut(classes(df, id_col, text_col, shingle, tau).withColumnRenamed("fp", "node")), id_col, text_col)
+
+
+def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `df`, all columns, without those similar to another, as in `keep_one`."""
+    return _keep(df, cut(similar_classes(df, id_col, text_col, shingle, similarity)), id_col, text_col)
+
+
+def _keep(df: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "text_hash")).alias("x")).select("x.id", "x.text_hash")
     first = cut(first.distinct())
+    own_id, own_hash = unused(df, "own_id", "own_hash")
     repeated = of.join(first, same(of, first, "id", "text_hash"), "left_semi").groupBy("id", "text_hash").count().where("count > 1")
-    stay = first.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    gone = of.join(first, same(of, first, "id", "text_hash"), "left_anti").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    stay = first.select(F.col("id").alias(own_id), F.col("text_hash").alias(own_hash))
+    gone = of.join(first, same(of, first, "id", "text_hash"), "left_anti").select(F.col("id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
     gone = cut(gone)
-    it = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
+    it = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text_col)) == F.col(own_hash))
     # few rows go: their keys travel to the documents; many: documents are shuffled to meet the keys of those that stay
     out = df.join(F.broadcast(gone), it, "left_anti") if gone.count() <= BROADCAST_ROWS else df.join(stay, it, "left_semi")
     if repeated.isEmpty():
         return out
-    return out.withColumn("__hash", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__hash"]).drop("__hash")
+    return out.withColumn(own_hash, F.xxhash64(F.col(text_col))).dropDuplicates([id_col, own_hash]).drop(own_hash)

@@ -104,6 +104,111 @@ def test_clashing_ids_keep_one_row_of_each_class(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
+def brute_similar(ids, texts, similarity=0.8, k=5):
+    """Component id of each text by the whole sets of shingles, all pairs."""
+    sets = []
+    for t in texts:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+        sets.append({" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} or ({" ".join(words)} if words else set()))
+    parent = list(range(len(ids)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(ids)), 2):
+        if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+            parent[find(i)] = find(j)
+    low = {}
+    for i, d in enumerate(ids):
+        r = find(i)
+        low[r] = d if low.get(r) is None else min(low[r], d) if d is not None else low[r]
+    return [low[find(i)] for i in range(len(ids))]
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """Texts, edited copies of them at all similarities, families around one text, copies, odd texts."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(3000)]
+    out = [None, "", " \n", "one", "One", "a b c d", "a b c d e", "w " * 5000, "w x " * 2000]
+    for n in (6, 30, 60, 120, 250, 600, 1500):
+        for _ in range(8):
+            base = rng.choices(vocabulary, k=n)
+            out.append(" ".join(base))
+            for rate in (0.0, 0.004, 0.01, 0.015, 0.02, 0.03):
+                near = [rng.choice(vocabulary) if rng.random() < rate else w for w in base]
+                near = [w for w in near if rng.random() > rate / 4]
+                out.append(" ".join(near))
+    base = rng.choices(vocabulary, k=400)
+    out += [" ".join(rng.choice(vocabulary) if rng.random() < 0.02 else w for w in base) for _ in range(60)] + [" ".join(base)]
+    passage = " ".join(rng.choices(vocabulary, k=60))
+    out += [" ".join(rng.choices(vocabulary, k=90)) + " " + passage for _ in range(60)]
+    order = list(range(len(out)))
+    rng.shuffle(order)
+    return [out[i] for i in order]
+
+
+@pytest.mark.parametrize("limit", [200_000, -1])
+def test_similar_classes_against_all_pairs(spark, edited, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+    ids = [None if i == 3 else i * 7 % 1000 for i in range(len(edited))]
+    df = spark.createDataFrame([(i, t, "s", "x", 1) for i, t in zip(ids, edited)], DOC)
+    got = {r.id: r.component_id for r in simhash.similar_classes(df).collect()}
+    want = dict(zip(ids, brute_similar(ids, edited)))
+    want_of = {}
+    for i, c in want.items():
+        want_of.setdefault(c, set()).add(i)
+    for c in set(got.values()):
+        assert len({want[i] for i in got if got[i] == c}) == 1  # never more than the whole sets say
+    merged = sum(i != c for i, c in want.items())
+    caught = sum(i != c for i, c in got.items())
+    assert merged > 200 and caught >= 0.97 * merged
+    kept = simhash.keep_one_similar(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(c) for c in set(got.values()))
+
+
+def test_similar_classes_of_odd_tables(spark):
+    rows = [(5, "alpha beta gamma delta epsilon", "s", None, 1), (5, "quite another text with other words", "s", None, 1), (5, "alpha beta gamma delta epsilon", "s", None, 1), (None, None, None, None, None), (6, " ", None, None, None)]
+    kept = simhash.keep_one_similar(spark.createDataFrame([(*r, 1, 2) for r in rows], DOC + ", own_id int, node int"))
+    assert sorted(str(r.text) for r in kept.collect()) == [" ", "alpha beta gamma delta epsilon", "quite another text with other words"]
+    assert simhash.keep_one_similar(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_rings_fit_brute_force():
+    rng = random.Random(2)
+    text = " ".join(str(rng.randrange(500)) for _ in range(700)).encode()
+    h = simhash.shingle_set(text)
+    words = text.decode().split()
+    assert {int(x) for x in h} == {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)}
+    assert all(2 <= n / (1 << simhash.level(n)) < 4 for n in range(2, 5000)) and simhash.level(1) == simhash.level(0) == 0
+    for at in (0, 1, 3, 8):
+        m, groups = min(16, 1 << at), {}
+        for x in map(int, h):
+            groups.setdefault((x * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - at) if at else 0, []).append(x)
+        want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in groups.get(g, [])) > len(groups.get(g, []))) for g in range(m)]
+        assert [int(x) for x in simhash.ring(h, at)] == want
+
+
+def test_chains_are_the_pigeonring_condition(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(400):
+        m = rng.choice([1, 2, 4, 16])
+        differ = [int(rng.random() < rng.choice([0.3, 0.7, 0.8])) for _ in range(m)]
+        rows.append((differ, [1] * m, [1 + d for d in differ]))
+    df = spark.createDataFrame([(i, a, b) for i, (_, a, b) in enumerate(rows)], "i int, a array<long>, b array<long>")
+    got = {r.i: r.c for r in df.select("i", simhash._chain(F.col("a"), F.col("b"), 0.75).alias("c")).collect()}
+    for i, (d, _, _) in enumerate(rows):
+        m = len(d)
+        want = any(all(sum((d + d)[s : s + n]) <= n * 3 // 4 for n in range(1, m + 1)) for s in range(m))
+        assert got[i] == want
+        assert want or sum(d) > 0.75 * m
+    assert len(set(got.values())) == 2
+
+
 def brute_lines(rows, max_ratio, min_pages):
     pages, having = {}, {}
     for host, text in rows:

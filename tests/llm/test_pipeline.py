@@ -4,7 +4,7 @@ import re
 
 import pytest
 from test_blocks import brute_targets
-from test_dedup import brute_components, brute_fingerprint, brute_lines
+from test_dedup import brute_lines, brute_similar
 from test_scoring import brute_contamination
 
 import corpus_pipeline
@@ -60,7 +60,7 @@ def test_line_stage_reaches_rare_lines_of_large_sources(spark):
 
 def test_dedup_stage(stages):
     before = _rows(stages[2])
-    component = brute_components([d for d, _ in before], [brute_fingerprint(t) for _, t in before])
+    component = brute_similar([d for d, _ in before], [t for _, t in before])
     assert _rows(stages[3]) == [(d, t) for (d, t), c in zip(before, component) if d == c]
 
 
