@@ -208,14 +208,28 @@ def rings(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: f
     return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(work, schema)
 
 
-def _chain(a: Column, b: Column, differing: float) -> Column:
-    """Whether some segment starts a chain all of whose beginnings, l segments long, have at most l * `differing` that differ."""
-    m = F.size(a)
-    differ = F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
-    sums = F.transform(F.sequence(F.lit(1), m), lambda n: F.aggregate(F.slice(F.concat(differ, differ), 1, n), F.lit(0), lambda s, x: s + x))
-    twice = F.concat(F.array(F.lit(0)), sums, F.transform(sums, lambda x: x + F.element_at(sums, -1)))  # differences before each place, twice round
-    at = lambda i: F.get(twice, i)
-    return F.exists(F.sequence(F.lit(0), m - 1), lambda i: F.forall(F.sequence(F.lit(1), m), lambda n: at(i + n) - at(i) <= F.floor(n * differing + 1e-9)))
+def chained(a: np.ndarray, b: np.ndarray, differing: float = DIFFERING / SEGMENTS) -> np.ndarray:
+    """Per row of two tables of rings, whether some segment starts a chain all of whose beginnings, l segments long,
+    have at most l * `differing` that differ."""
+    m = a.shape[1]
+    sums = np.zeros((len(a), 2 * m + 1), np.int64)  # differences before each place, twice round
+    np.cumsum(np.tile(a != b, (1, 2)), axis=1, out=sums[:, 1:])
+    going = np.ones((len(a), m), bool)
+    for n in range(1, m + 1):
+        going &= sums[:, n : n + m] - sums[:, :m] <= int(n * differing + 1e-9)
+    return going.any(1)
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: of rows (node, other, a, b) those whose rings a and b are chained, without the rings."""
+    for batch in batches:
+        a, b = batch.column(2), batch.column(3)
+        lengths, keep = np.diff(a.offsets.to_numpy()), np.zeros(batch.num_rows, bool)
+        for m in np.unique(lengths):
+            rows = np.nonzero(lengths == m)[0]
+            flat = [x.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, m) for x in (a, b)]
+            keep[rows] = chained(*flat)
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], batch.schema.names[:2]).filter(pa.array(keep))
 
 
 def similar_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -237,8 +251,9 @@ def similar_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     left = nodes.select("node", F.col("n").alias("n1"), F.col("rings").alias("r1"))
     right = nodes.select(F.col("node").alias("other"), F.col("n").alias("n2"), F.col("rings").alias("r2"))
     links = links.join(left, "node").join(right, "other").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9)
-    chained = F.exists("r1", lambda x: F.exists("r2", lambda y: (x["level"] == y["level"]) & _chain(x["segments"], y["segments"], DIFFERING / SEGMENTS)))
-    return links.where(chained).select("node", "other")
+    links = links.select("node", "other", "r2", F.explode("r1").alias("a")).select("node", "other", "a", F.explode("r2").alias("b")).where("a.level = b.level")
+    links = links.select("node", "other", F.col("a.segments").alias("a"), F.col("b.segments").alias("b"))
+    return links.mapInArrow(_chains, "node binary, other binary").distinct()
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
