@@ -19,27 +19,25 @@ INVISIBLE = (
 )
 
 # Lookalike letters (Cyrillic, Greek and others) and the ASCII letters they stand for in mixed words.
-LOOKALIKES = (
-    "0410>A 0412>B 0421>C 0415>E 0405>S 041D>H 0406>I 0408>J 041A>K 041C>M 041E>O 0420>P 0422>T 0425>X 0423>Y 050C>G 0241>I 0474>V 051C>W "
-    "0430>a 0432>b 0441>c 0435>e 0455>s 04BB>h 0456>i 0458>j 043A>k 043C>m 043E>o 0440>p 0442>t 0445>x 0443>y 0501>d 0261>g 0578>n 0475>v 051D>w 0185>b "
-    "0391>A 0392>B 0395>E 0396>Z 0397>H 0399>I 039A>K 039C>M 039D>N 039F>O 03A1>P 03A4>T 03A5>Y 03A7>X "
-    "03B1>a 03B2>b 03B5>e 03B9>i 03BA>k 03BD>v 03BF>o 03C1>p 03C4>t 03C5>u 03C7>x 03B3>y 03C9>w 03C3>o 03BC>u"
-)
+LOOKALIKES = {
+    "А": "A", "В": "B", "С": "C", "Е": "E", "Ѕ": "S", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M",
+    "О": "O", "Р": "P", "Т": "T", "Х": "X", "У": "Y", "Ԍ": "G", "Ɂ": "I", "Ѵ": "V", "Ԝ": "W", "а": "a",
+    "в": "b", "с": "c", "е": "e", "ѕ": "s", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o",
+    "р": "p", "т": "t", "х": "x", "у": "y", "ԁ": "d", "ɡ": "g", "ո": "n", "ѵ": "v", "ԝ": "w", "ƅ": "b",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
+    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v",
+    "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w", "σ": "o", "μ": "u",
+}
 
 # Small capitals and the letters they stand for everywhere.
-SMALL_CAPITALS = (
-    "1D00>a 0299>b 1D04>c 1D05>d 1D07>e A730>f 0262>g 029C>h 026A>i 1D0A>j 1D0B>k 029F>l 1D0D>m 0274>n 1D0F>o 1D18>p A7AF>q 0280>r A731>s "
-    "1D1B>t 1D1C>u 1D20>v 1D21>w 028F>y 1D22>z"
-)
-
-
-def _pairs(table: str) -> tuple[str, str]:
-    pairs = [x.split(">") for x in table.split()]
-    return "".join(chr(int(a, 16)) for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-LOOKALIKE_FROM, LOOKALIKE_TO = _pairs(LOOKALIKES)
-SMALL_FROM, SMALL_TO = _pairs(SMALL_CAPITALS)
+SMALL_CAPITALS = {
+    "ᴀ": "a", "ʙ": "b", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ꜰ": "f", "ɢ": "g", "ʜ": "h", "ɪ": "i", "ᴊ": "j",
+    "ᴋ": "k", "ʟ": "l", "ᴍ": "m", "ɴ": "n", "ᴏ": "o", "ᴘ": "p", "ꞯ": "q", "ʀ": "r", "ꜱ": "s", "ᴛ": "t",
+    "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ʏ": "y", "ᴢ": "z",
+}
+
+LOOKALIKE_FROM, LOOKALIKE_TO = "".join(LOOKALIKES), "".join(LOOKALIKES.values())
+SMALL_FROM, SMALL_TO = "".join(SMALL_CAPITALS), "".join(SMALL_CAPITALS.values())
 #: Tag characters mirror printable ASCII.
 TAG_FROM, TAG_TO = "".join(chr(0xE0020 + i) for i in range(95)), "".join(chr(0x20 + i) for i in range(95))
 

@@ -68,6 +68,20 @@ def findings(inspected: DataFrame, *ids: str, atlas_block: bool = False) -> Data
     return inspected.select(*ids, "agent", F.inline(F.array_compact(F.array(found))))
 
 
+def response_findings(inspected: DataFrame, *ids: str, response_block: bool = False) -> DataFrame:
+    """A log row per flagged whole response, columns as in `findings`; kind is "response"."""
+    return _flagged(inspected, ids, "response_hits", "response", response_block)
+
+
+def stream_findings(actions: DataFrame, *ids: str, response_block: bool = False) -> DataFrame:
+    """A log row per tripped stream; `actions` are the chunks' with their exchanges' `ids` and agent; kind is "stream"."""
+    return _flagged(actions, ids, "hits", "stream", response_block)
+
+
+def _flagged(df: DataFrame, ids: tuple[str, ...], hits: str, kind: str, block: bool) -> DataFrame:
+    return df.where(F.size(hits) > 0).select(*ids, "agent", F.lit("block" if block else "log").alias("action"), F.lit(kind).alias("kind"), F.col(hits).alias("rules"))
+
+
 def hit_counts(scanned: DataFrame, hits_col: str) -> DataFrame:
     """rule_id, count: rows with each hit."""
     return scanned.select(F.explode(hits_col).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("count"))

@@ -17,9 +17,10 @@ from sluice.operators import metrics
 from sluice.operators.requests import forwarded, inspect_requests, once, scan_texts, with_upstream_failures
 from sluice.operators.responses import FLAGS_HEADER, STATUS_HEADER, inspect_responses
 from sluice.operators.sse import scan_sse
+from sluice.plans.gateway import run_gateway
 from sluice.plans.oracle import hit_list, quote, string_list
 from sluice.plans.seeds import seed_texts
-from sluice.sources.exchanges import CHUNK, chat_requests, delta_chunks, read_table, run_to_table, shared_folder, stream_exchanges
+from sluice.sources.exchanges import CHUNK, Options, chat_requests, delta_chunks, read_table, run_to_table, shared_folder, stream_exchanges
 from sluice.streaming.sse import inspect_chunks, inspect_stream
 
 QUERIES = {}
@@ -245,9 +246,9 @@ _DECIDED = f"""(SELECT conv_id, list_concat(a, list_filter(b, lambda x: NOT list
 FROM (SELECT conv_id, {hit_list('text', _REQUEST)} AS a, {hit_list(_ROT_TEXT, _REQUEST)} AS b, {hit_list('text', _ATLAS)} AS c FROM {_PROMPTS}))"""
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _requests(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     turns = _seeded(_table(spark, sf_dir, "conversations"), _REQUEST_SEEDS + ["note nothing", "note well"], "conv_id")
-    return chat_requests(turns)
+    return chat_requests(turns, stream)
 
 
 @_query(f"SELECT conv_id, text FROM {_PROMPTS}")
@@ -349,7 +350,7 @@ CASE WHEN n = hit_at THEN array_to_string(hits, ',') ELSE '' END AS hits FROM t
 
 @_query(_ACTIONS)
 def sse_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect_chunks(delta_chunks(_answers(spark, sf_dir)), block=True).withColumn("hits", _joined("hits"))
+    return inspect_chunks(delta_chunks(_answers(spark, sf_dir)), block=True).drop("sent").withColumn("hits", _joined("hits"))
 
 
 @_query(_ACTIONS)
@@ -358,7 +359,57 @@ def sse_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "chunks")
     delta_chunks(_answers(spark, sf_dir)).write.parquet(path)
     live = inspect_stream(stream_exchanges(spark, path, schema=CHUNK), block=True, ttl=None)
-    return run_to_table(live, "actions").withColumn("hits", _joined("hits"))
+    return run_to_table(live, "actions").drop("sent").withColumn("hits", _joined("hits"))
+
+
+@_query(f"""SELECT stream_id, 2 * seq + p AS seq, CASE WHEN p = 0 AND action = 'withhold_and_terminate' THEN 'forward' ELSE action END AS action, CASE WHEN p = 1 THEN hits ELSE '' END AS hits
+FROM ({_ACTIONS}) CROSS JOIN (VALUES (0), (1)) AS halves(p)""")
+def sse_cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event comes in two chunks, cut inside its line: the second completes it."""
+    whole = delta_chunks(_answers(spark, sf_dir)).withColumn("text", F.col("chunk").cast("string"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    halves = F.array(F.substring("text", F.lit(1), half), F.substr("text", half + 1))
+    cut = whole.select("stream_id", F.col("seq").alias("n"), F.posexplode(halves).alias("p", "part"))
+    chunks = cut.select("stream_id", (F.col("n") * 2 + F.col("p")).alias("seq"), F.col("part").cast("binary").alias("chunk"))
+    return inspect_chunks(chunks, block=True).drop("sent").withColumn("hits", _joined("hits"))
+
+
+_ENDED = """'data: {"error": {"message": "Response blocked: streamed output matches an egress rule.", "type": "response_blocked", "code": "response_blocked"}, "inspection": {"rules": ["' || replace(hits, ',', '", "') || '"]}}' || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10)"""
+
+
+@_query(f"SELECT stream_id, seq, action, CASE action WHEN 'withhold_and_terminate' THEN {_ENDED} WHEN 'forward' THEN 'same' END AS sent FROM ({_ACTIONS})")
+def sse_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What callers of enforced streams get: forwarded chunks as they came, the terminating event, then nothing."""
+    chunks = delta_chunks(_answers(spark, sf_dir))
+    out = inspect_chunks(chunks, block=True).join(chunks, ["stream_id", "seq"])
+    sent = F.when((F.col("action") == "forward") & (F.col("sent") == F.col("chunk")), "same").otherwise(F.col("sent").cast("string"))
+    return out.select("stream_id", "seq", "action", sent.alias("sent"))
+
+
+@_query(f"""WITH t AS ({_ACTIONS}), s AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS stream_id, substr(sha256('sk-conv-' || conv_id), 1, 16) AS agent, dlp, atlas FROM {_DECIDED})
+SELECT conv_id, agent, 'block' AS action, 'request' AS kind, array_to_string(dlp, ',') AS rules FROM s WHERE len(dlp) > 0
+UNION ALL SELECT conv_id, agent, 'log', 'technique', array_to_string(atlas, ',') FROM s WHERE len(dlp) = 0 AND len(atlas) > 0
+UNION ALL SELECT conv_id, agent, 'block', 'stream', hits FROM s JOIN t USING (stream_id) WHERE hits <> '' AND len(dlp) = 0 AND conv_id % 5 > 0""")
+def gateway_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of the whole flow over streamed exchanges, some of whose upstreams fail."""
+    error = F.when(F.col("conv_id") % 5 == 0, "timed out")
+    exchanges = _requests(spark, sf_dir, stream=True).withColumns({"stream_id": F.col("conv_id").cast("string"), "upstream_status": F.lit(200), "upstream_body": F.lit(None).cast("binary"), "upstream_error": error})
+    out = run_gateway(exchanges, Options(response_block=True), delta_chunks(_answers(spark, sf_dir)), ids=("conv_id",))
+    return out.findings.withColumn("rules", _joined("rules"))
+
+
+@_query(f"""SELECT conv_id, CASE WHEN len(dlp) > 0 THEN '403' WHEN conv_id % 5 = 0 THEN '502' ELSE '200' END AS status,
+CASE WHEN len(dlp) > 0 OR conv_id % 5 = 0 THEN '' ELSE 'text/event-stream,stream-enforced' END AS headers FROM {_DECIDED}""")
+def gateway_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and headers with which each streamed exchange is answered."""
+    error = F.when(F.col("conv_id") % 5 == 0, "timed out")
+    kind = F.create_map(F.lit("content-type"), F.lit("text/event-stream"))
+    exchanges = _requests(spark, sf_dir, stream=True).withColumns({"upstream_status": F.lit(200), "upstream_body": F.lit(None).cast("binary"), "upstream_error": error, "upstream_headers": kind})
+    out = run_gateway(exchanges, Options(response_block=True))
+    text = lambda c: F.col(c).cast("string").alias("status")
+    begun = out.opened.select("conv_id", text("response_status"), F.array_join(F.map_values("response_headers"), ",").alias("headers"))
+    ended = out.requests.where("decision = 'block'").select("conv_id", "status").unionByName(out.failures.select("conv_id", "status"))
+    return begun.unionByName(ended.select("conv_id", text("status"), F.lit("").alias("headers")))
 
 
 _KEYS = ("sk-proj-", "sk-ant-", "sk-", "hf_", "AIza", "gsk_", "dsk-", "xai-", "plain-")

@@ -57,15 +57,47 @@ def read_table(spark: SparkSession, path: str, small: int = 64 << 20, least: int
 
 
 def lower_headers(df: DataFrame) -> DataFrame:
-    """Header names in lower case; of names that then clash the last stays."""
+    """Header names in lower case; of names that then clash the first stays."""
     entries = F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    return df.withColumn("headers", F.map_from_entries(last))
+    first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1)
+    return df.withColumn("headers", F.map_from_entries(first))
 
 
 def stream_exchanges(spark: SparkSession, path: str, format: str = "parquet", schema: str = EXCHANGE, max_files: int = 100) -> DataFrame:
-    """The same as a stream of files (schema=CHUNK for stream chunks)."""
-    return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
+    """The same as a stream of files (schema=CHUNK for stream chunks, which have no headers)."""
+    df = spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
+    return lower_headers(df) if "headers" in df.columns else df
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    """EXCHANGE rows of log records, as a message queue's reader gives them, streaming or not: columns key, value and
+    headers (array<struct<key string, value binary>>, null without).
+
+    The value is the request's body. Record headers `:method`, `:path`, `:upstream-status` and `:upstream-body` hold
+    what is no request header; method and path default to a POST of a chat. Other record headers are request headers.
+    """
+    empty = F.array().cast("array<struct<key:string,value:binary>>")
+    entries = F.coalesce(F.col("headers").cast("array<struct<key:string,value:binary>>"), empty)
+    named = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), F.make_valid_utf8(e["value"].cast("string")).alias("value")))
+    special = lambda name: F.try_element_at(F.filter(named, lambda e: e["key"] == name), F.lit(1))["value"]
+    raw_body = F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == ":upstream-body"), F.lit(1))["value"]
+    kept = F.filter(named, lambda e: ~F.startswith(e["key"], F.lit(":")))
+    keys = F.transform(kept, lambda e: e["key"])
+    first = F.filter(kept, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return records.select(
+        F.coalesce(special(":method"), F.lit("POST")).alias("method"),
+        F.coalesce(special(":path"), F.lit("/v1/chat/completions")).alias("path"),
+        F.map_from_entries(first).alias("headers"),
+        F.col("value").cast("binary").alias("body"),
+        special(":upstream-status").try_cast("int").alias("upstream_status"),
+        raw_body.alias("upstream_body"),
+    )
+
+
+def stream_records(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
+    """Exchanges from a Kafka topic as a stream; Spark's Kafka package must be on the class path."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("includeHeaders", "true")
+    return from_records(reader.options(**options).load())
 
 
 def chat_requests(conversations: DataFrame, stream: bool = False) -> DataFrame:
@@ -84,9 +116,11 @@ def delta_chunks(turns: DataFrame, key: str = "conv_id", role: str = "assistant"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under spark.checkpoint.dir, or in a session without one (a local one) in a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sluice-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path under spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base or tempfile.mkdtemp(prefix='sluice-')}/{name}-{uuid.uuid4().hex}"
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:

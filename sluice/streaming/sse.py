@@ -5,8 +5,9 @@ the last line feed waits for more, and an unterminated last line is never scanne
 choices[0].delta.content, or else delta.text, to a window of 500 characters, which is folded and scanned after each
 addition. The chunk that completes a match trips its stream; afterwards nothing is scanned.
 
-Output: stream_id, seq, action, hits. Where responses block, the tripping chunk is "withhold_and_terminate" (the
-caller gets `terminal_event`) and later ones are "drop"; otherwise all are "forward". Only the tripping chunk has hits.
+Output: stream_id, seq, action, hits, sent. Where responses block, the tripping chunk is "withhold_and_terminate" and
+later ones are "drop"; otherwise all are "forward". Only the tripping chunk has hits. `sent` is what the caller gets: a
+forwarded chunk, `terminal_event` for the tripping one, null for dropped ones.
 Null chunks are empty; null seq comes first; chunks of equal seq are taken in the order of their bytes.
 """
 
@@ -55,10 +56,13 @@ class Scanner:
                 return hits
         return []
 
-    def act(self, chunk: bytes | None, block: bool) -> tuple[str, list[str]]:
+    def act(self, chunk: bytes | None, block: bool) -> tuple[str, list[str], bytes | None]:
+        """(action, hits, sent)."""
         done = self.tripped
         hits = self.push(chunk)
-        return (DROP if done and block else TERMINATE if hits and block else FORWARD), hits
+        if not block or not (done or hits):
+            return FORWARD, hits, chunk
+        return (DROP, hits, None) if done else (TERMINATE, hits, terminal_event(hits))
 
 
 def terminal_event(hits: list[str]) -> bytes:
@@ -73,7 +77,7 @@ def stream_header(block: bool) -> Column:
 
 
 def _schema(df: DataFrame) -> T.StructType:
-    return T.StructType([T.StructField("stream_id", df.schema["stream_id"].dataType), T.StructField("seq", T.LongType()), T.StructField("action", T.StringType()), T.StructField("hits", T.ArrayType(T.StringType()))])
+    return T.StructType([T.StructField("stream_id", df.schema["stream_id"].dataType), T.StructField("seq", T.LongType()), T.StructField("action", T.StringType()), T.StructField("hits", T.ArrayType(T.StringType())), T.StructField("sent", T.BinaryType())])
 
 
 def inspect_stream(chunks: DataFrame, block: bool = False, ttl: str | None = "1 hour") -> DataFrame:
@@ -95,7 +99,7 @@ def inspect_stream(chunks: DataFrame, block: bool = False, ttl: str | None = "1
         state.update((scanner.partial, scanner.window, scanner.tripped))
         if millis:
             state.setTimeoutDuration(millis)
-        yield pd.DataFrame(done, columns=["stream_id", "seq", "action", "hits"])
+        yield pd.DataFrame(done, columns=["stream_id", "seq", "action", "hits", "sent"])
 
     chunks = chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"))
     return chunks.groupBy("stream_id").applyInPandasWithState(step, _schema(chunks), STATE, "append", timeout)
@@ -109,14 +113,13 @@ def inspect_chunks(chunks: DataFrame, block: bool = False) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, scanner, first = None, Scanner(), True
         for b in batches:
-            actions, hits = [], []
+            done = []
             for stream, chunk in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if first or stream != current:
                     current, scanner, first = stream, Scanner(), False
-                a, h = scanner.act(chunk, block)
-                actions.append(a)
-                hits.append(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(actions, pa.string()), pa.array(hits, pa.list_(pa.string()))], schema.names)
+                done.append(scanner.act(chunk, block))
+            kinds = (pa.string(), pa.list_(pa.string()), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[i] for x in done], t) for i, t in enumerate(kinds))], schema.names)
 
     ordered = chunks.repartition("stream_id").sortWithinPartitions("stream_id", F.col("seq").asc_nulls_first(), "chunk")
     return ordered.mapInArrow(work, schema)
