@@ -27,11 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names in spark.checkpoint.dir; only a session without one gets its own."""
+    """Checkpoints go to the folder the cluster names in spark.checkpoint.dir; a local session without one gets its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
