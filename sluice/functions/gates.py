@@ -1,7 +1,7 @@
 """Which rules can match a text at all: one pass over the text for the literals of all rules.
 
 The pass is an Aho-Corasick automaton in an Arrow UDF; where its library is missing, literals are looked for one by one.
-It only narrows: patterns are matched in the JVM.
+It only narrows: patterns are matched in the JVM, but for those that the linear matcher decides on long texts.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.functions.linear import LONG, decide
 from sluice.functions.rules import Rule
 
 try:
@@ -58,13 +59,22 @@ def finder(rules: tuple[Rule, ...]) -> Callable[[str], list[int]]:
     return candidates
 
 
-def candidates(texts: Column, rules: tuple[Rule, ...]) -> Column:
-    """array<array<int>>: for each text of an array the numbers of the gated rules that may match it."""
+def candidates(texts: Column, rules: tuple[Rule, ...], long: int = LONG) -> Column:
+    """array<array<int>>: for each text of an array the numbers of the gated rules that may match it.
+
+    A text of more than `long` characters is looked at by the linear matcher: its numbers are those of rules, gated or
+    not, that Java is still to match, and -1 - number for rules that match.
+    """
 
     @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def work(lists: pa.Array) -> pa.Array:
-        find = finder(rules)
-        found = [None if t is None else find(t) for t in lists.flatten().to_pylist()]
+        find, ungated = finder(rules), [n for n, r in enumerate(rules) if not r.gate]
+        values = lists.flatten().to_pylist()
+        found = [None if t is None else find(t) for t in values]
+        large = [i for i, t in enumerate(values) if t is not None and len(t) > long]
+        if large:
+            for i, numbers in zip(large, decide([values[i] for i in large], rules, [[*found[i], *ungated] for i in large]), strict=True):
+                found[i] = numbers
         inner = pa.array(found, pa.list_(pa.int32()))
         ends, at = [0], 0
         for n in lists.value_lengths().to_pylist():

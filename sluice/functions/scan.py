@@ -1,6 +1,7 @@
 """Rule scans as Column functions: which rules match a text, in catalog order.
 
-All take text that has been normalized where the caller wants disguises folded. A null text has no hits.
+All take text that has been normalized where the caller wants disguises folded. A null text has no hits. `long`: texts of
+more characters are looked at by a linear-time matcher first; hits are the same.
 """
 
 from __future__ import annotations
@@ -12,28 +13,36 @@ from pyspark.sql import functions as F
 
 from sluice.functions.decode import decoded_base64, rot13
 from sluice.functions.gates import candidates
+from sluice.functions.linear import LONG
 from sluice.functions.rules import Rule, atlas_rules, request_rules, response_rules
 
 _IDS = "array<string>"
 
 
-def matches(text: Column, possible: Column, rules: Sequence[Rule]) -> Column:
-    """Ids of the matching rules, in the order of `rules`; a gated rule's regex runs only if its number is `possible`."""
+def matches(text: Column, possible: Column, rules: Sequence[Rule], long: int = LONG) -> Column:
+    """Ids of the matching rules, in the order of `rules`; a regex runs only where `possible` (see `candidates`) says so."""
+    if not rules:
+        return F.array().cast(_IDS)
+    short = F.length(text) <= long
     found = []
     for n, r in enumerate(rules):
-        hit = F.when(text.rlike(r.java), F.lit(r.rule_id))
-        found.append(F.when(F.array_contains(possible, F.lit(n)), hit) if r.gate else hit)
-    return F.array_compact(F.array(*found)) if found else F.array().cast(_IDS)
+        listed = F.array_contains(possible, F.lit(n))
+        found.append(F.when((listed if r.gate else short | listed) & text.rlike(r.java), F.lit(n)))
+    numbers = F.array_compact(F.array(*found))
+    decided = F.transform(F.filter(possible, lambda x: x < 0), lambda x: -1 - x)
+    ids = F.array(*[F.lit(r.rule_id) for r in rules])
+    ordered = F.when(short, numbers).otherwise(F.array_sort(F.concat(numbers, decided)))
+    return F.transform(ordered, lambda n: F.element_at(ids, n + 1))
 
 
-def hits_each(texts: Column, rules: Sequence[Rule]) -> Column:
+def hits_each(texts: Column, rules: Sequence[Rule], long: int = LONG) -> Column:
     """array<array<string>>: the hits of each text of an array without nulls."""
-    return F.zip_with(texts, candidates(texts, tuple(rules)), lambda t, p: matches(t, p, rules))
+    return F.zip_with(texts, candidates(texts, tuple(rules), long), lambda t, p: matches(t, p, rules, long))
 
 
-def hits(text: Column, rules: Sequence[Rule]) -> Column:
+def hits(text: Column, rules: Sequence[Rule], long: int = LONG) -> Column:
     """Ids of the rules that match, in the order of `rules`."""
-    return hits_each(F.array(F.coalesce(text, F.lit(""))), rules)[0]
+    return hits_each(F.array(F.coalesce(text, F.lit(""))), rules, long)[0]
 
 
 def scan(text: Column, decoded: Column | None = None, extra: Sequence[Rule] = ()) -> Column:

@@ -118,7 +118,7 @@ def delta_chunks(turns: DataFrame, key: str = "conv_id", role: str = "assistant"
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path under spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base or tempfile.mkdtemp(prefix='sluice-')}/{name}-{uuid.uuid4().hex}"
 
