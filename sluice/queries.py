@@ -99,35 +99,12 @@ def rot13_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG_SEEDS = [t for t in _REQUEST_SEEDS if t.isascii() and len(t) >= 18]
 
 
-@_query(f"""WITH s AS (SELECT doc_id, {string_list(_LONG_SEEDS)}[CAST(doc_id % {len(_LONG_SEEDS)} AS BIGINT) + 1] AS seed FROM documents),
-e AS (SELECT doc_id, seed, 'see ' || to_base64(encode(seed)) AS text FROM s),
-h AS (SELECT doc_id, {hit_list('text', _REQUEST)} AS a, {hit_list('seed', _REQUEST)} AS b, {hit_list(f"translate(text, '{_ROT_FROM}', '{_ROT_TO}')", _REQUEST)} AS c FROM e)
-SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x)), list_filter(c, lambda x: NOT list_contains(a, x) AND NOT list_contains(b, x))), ',') AS hits FROM h""")
-def base64_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seed = _pick(_LONG_SEEDS, F.col("doc_id"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see "), F.base64(seed.cast("binary"))).alias("text"))
-    docs = docs.withColumn("text", F.regexp_replace("text", "\r\n", ""))
-    return scan_texts(docs).select("doc_id", _joined("dlp_hits").alias("hits"))
-
-
-@_query(r"""WITH s AS (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 90) AS s FROM documents)
-SELECT doc_id, CASE WHEN length(s) >= 18 THEN s ELSE '' END AS decoded, CASE WHEN length(s) >= 18 THEN s ELSE '' END AS wrapped_decoded FROM s""")
-def base64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.substring(F.regexp_replace("text", r"[^\x20-\x7E]", ""), 1, 90)
-    code = F.regexp_replace(F.base64(plain.cast("binary")), r"\s", "")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", code.alias("code"))
-    lines = F.concat_ws("\n", F.substr("code", F.lit(1), F.lit(16)), F.substr("code", F.lit(17), F.lit(16)), F.substr("code", F.lit(33)))
-    last = lambda x: F.coalesce(F.try_element_at(decode.decoded_base64(x), F.lit(-1)), F.lit(""))
-    long = F.length("code") >= 36
-    return docs.select("doc_id", last(F.col("code")).alias("decoded"), F.when(long, last(lines)).otherwise(last(F.col("code"))).alias("wrapped_decoded"))
-
-
 @_query(f"""WITH s AS (SELECT doc_id, text, {string_list(_LONG_SEEDS)}[CAST(doc_id % {len(_LONG_SEEDS)} AS BIGINT) + 1] AS seed FROM documents),
 e AS (SELECT doc_id, seed, text || chr(10) || 'see ' || to_base64(encode(seed)) AS text FROM s),
 h AS (SELECT doc_id, {hit_list('text', _REQUEST)} AS a, {hit_list('seed', _REQUEST)} AS b, {hit_list(f"translate(text, '{_ROT_FROM}', '{_ROT_TO}')", _REQUEST)} AS c FROM e)
 SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x)), list_filter(c, lambda x: NOT list_contains(a, x) AND NOT list_contains(b, x))), ',') AS hits FROM h""")
-def base64_hits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As base64_hits, with the payload after the document's whole text."""
+def base64_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An encoded payload after each document's whole text."""
     code = F.regexp_replace(F.base64(_pick(_LONG_SEEDS, F.col("doc_id")).cast("binary")), "\r\n", "")
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\nsee "), code).alias("text"))
     return scan_texts(docs).select("doc_id", _joined("dlp_hits").alias("hits"))
@@ -135,8 +112,8 @@ def base64_hits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(r"""WITH s AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS s FROM documents)
 SELECT doc_id, length(s) AS n_chars, sha256(CASE WHEN length(s) >= 18 THEN s ELSE '' END) AS decoded_sha256, sha256(CASE WHEN length(s) >= 18 THEN s ELSE '' END) AS wrapped_sha256 FROM s""")
-def base64_round_trip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As base64_round_trip, over whole texts, wrapped at 76 characters where that makes three lines or more."""
+def base64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts encoded and decoded, in one run and wrapped at 76 characters where that makes three lines or more."""
     return base64_round_trips(_table(spark, sf_dir, "documents"))
 
 

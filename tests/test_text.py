@@ -113,7 +113,7 @@ def test_base64_of_whole_texts_comes_back(spark, n):
     assert (r.n_chars, r.decoded_sha256, r.wrapped_sha256) == (n, want, want)
 
 
-@pytest.mark.parametrize("name", ["base64_round_trip_whole", "base64_hits_whole"])
+@pytest.mark.parametrize("name", ["base64_round_trip", "base64_hits"])
 def test_whole_base64_queries_equal_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
