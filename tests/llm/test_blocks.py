@@ -157,14 +157,14 @@ def brute_top(rows, k, every, scale=256):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_numbers", [64, 1 << 18])
-def test_top_k_matches_brute_force(spark, block_numbers):
+@pytest.mark.parametrize("block_numbers,query_bytes", [(64, 1 << 20), (1 << 18, 1 << 20), (64, 900)])
+def test_top_k_matches_brute_force(spark, block_numbers, query_bytes):
     rng = np.random.default_rng(1)
     rows = [(int(i), rng.normal(size=12).round(2).tolist()) for i in range(200)]
     rows += [(10, rows[10][1]), (300, None), (310, [1.0, None]), (320, [float("nan")] * 12), (330, [float("inf")] * 12), (340, []), (350, [0.5]), (None, rows[3][1]), (360, rows[20][1]), (-50, [1.0] * 14)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    got = topk.top_k(df, every=10, block_numbers=block_numbers, query_block=7)
+    got = topk.top_k(df, every=10, block_numbers=block_numbers, query_bytes=query_bytes)
     assert sorted(map(tuple, got.collect()), key=str) == brute_top(rows, 5, 10)
     assert topk.top_k(df.where("false")).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), every=10).count() == 0
@@ -173,7 +173,7 @@ def test_top_k_matches_brute_force(spark, block_numbers):
 def test_top_k_of_huge_numbers_is_exact(spark):
     rows = [(i, [1e9 + i, 3.0, -1e9 * i]) for i in range(12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, topk.top_k(df, every=4).collect()), key=str)
+    got = sorted(map(tuple, topk.top_k(df, every=4, block_numbers=12).collect()), key=str)
     clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
     want = []
     for q, v in rows[::4]:
@@ -182,17 +182,23 @@ def test_top_k_of_huge_numbers_is_exact(spark):
     assert got == sorted(want, key=str)
 
 
-def test_bounds_prune_columns(monkeypatch):
-    """Candidates drop out between dimension groups."""
+def test_bounds_prune_columns():
+    """Candidates drop out between dimension groups, more of them if a floor is known, and none that counts."""
     rng = np.random.default_rng(2)
     matrix = np.floor(rng.normal(size=(32, 2000)) * np.linspace(30, 1, 32)[:, None])
     queries = matrix[:, :3].T.copy()
-    got = list(topk.best_in_block(queries, np.array([0, 1, 2]), matrix, np.arange(2000), np.ones(2000, np.uint8), 5))
     full = queries @ matrix
-    for i in range(3):
-        full[i, i] = -np.inf
-        best = sorted(range(2000), key=lambda j: (-full[i, j], j))[:5]
-        assert [(j, s) for q, j, s in got if q == i] == [(j, int(full[i, j])) for j in best]
+    full[np.arange(3), np.arange(3)] = -np.inf
+    want = [(i, j, int(full[i, j])) for i in range(3) for j in sorted(range(2000), key=lambda j: (-full[i, j], j))[:5]]
+    floors = np.array([full[i, j] for i, j, _ in want[4::5]])
+    seen = []
+    for known in (None, floors):
+        trace = []
+        got = list(topk.best_in_block(queries, np.array([0, 1, 2]), matrix, np.arange(2000), np.ones(2000, np.uint8), 5, floors=known, trace=trace))
+        assert got == want
+        assert trace == sorted(trace, reverse=True) and trace[-1] < trace[0] and trace[-1] < 100
+        seen.append(sum(trace))
+    assert seen[1] < seen[0]
 
 
 PAGE = "page_id long, url string, html string, value string"
