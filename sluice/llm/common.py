@@ -69,6 +69,13 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return reduce(Column.__and__, (left[n].eqNullSafe(right[n]) for n in names))
 
 
+def meet(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -> DataFrame:
+    """Join on equally named columns in which null equals null, kept once; the two may come from the same table."""
+    other = right.withColumnsRenamed({n: f"right_{n}" for n in names})
+    on = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(f"right_{n}")) for n in names))
+    return left.join(other, on, how).drop(*(f"right_{n}" for n in names))
+
+
 def smallest_hashes(df: DataFrame, key: str, limit: int) -> DataFrame:
     """The `limit` rows of `df` with the smallest hash of `key` (ties by all columns): a sample that reruns agree on.
 

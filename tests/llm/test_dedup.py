@@ -253,18 +253,21 @@ def brute_chats(rows):
     return {c: "".join(f"<|{r or 'unknown'}|>\n{x or ''}<|end|>\n" for r, x in t) for c, t in kept.items()}
 
 
-def test_chats_match_brute_force(spark):
+@pytest.mark.parametrize("limit,more", [(200_000, False), (200_000, True), (0, True)])
+def test_chats_match_brute_force(spark, limit, more):
     rng = random.Random(3)
     rows = []
     for c in range(60):
         length, start, kind = rng.randint(1, 9), rng.choice([0, 0, 1, 60]), rng.randrange(4)
         rows += [(c, start + t, "user" if t % 2 == 0 else "assistant", f"{kind} {t}") for t in range(length)]
     rows += [(100, None, None, None), (100, 1, "user", ""), (101, 1, "user", None), (None, 1, "user", "x"), (None, 1, "system", "x"), (102, 1, "user", "z" * 300_000)]
-    rows += rows[:15] + [(200, t, "user", f"long {t}") for t in range(700)] + [(201, t, "user", f"long {t}") for t in range(650)]
+    if more:  # equal rows, long ones, one whose turns share a number, ties of texts
+        rows += rows[:15] + [(200, t, "user", f"long {t}") for t in range(700)] + [(201, t, "user", f"long {t}") for t in range(650)]
+        rows += [(300, None, None, f"same place {t}") for t in range(600)] + [(301, 5, "user", f"tie {t % 7}") for t in range(40)] + [(301, 5, "user", None)]
     df = spark.createDataFrame([(*r, "n", 1) for r in rows], "conv_id int, turn int, role string, text string, n string, pos int")
     got = {}
-    for r in sorted(chat.format_chats(df).collect(), key=lambda r: r.segment):
+    for r in sorted(chat.format_chats(df, broadcast_chats=limit).collect(), key=lambda r: r.segment):
         got[r.conv_id] = got.get(r.conv_id, "") + r.rendered
     assert got == brute_chats(rows)
     assert chat.format_chats(df.where("false")).count() == 0
-    assert chat.format_chats(df.where("conv_id = 200")).select(F.max("segment")).first()[0] == 2
+    assert not more or chat.format_chats(df.where("conv_id = 200")).select(F.max("segment")).first()[0] == 2
