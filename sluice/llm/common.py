@@ -71,9 +71,10 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 
 def meet(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -> DataFrame:
     """Join on equally named columns in which null equals null, kept once; the two may come from the same table."""
-    other = right.withColumnsRenamed({n: f"right_{n}" for n in names})
-    on = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(f"right_{n}")) for n in names))
-    return left.join(other, on, how).drop(*(f"right_{n}" for n in names))
+    theirs = dict(zip(names, unused(left, *(f"right_{n}" for n in names)), strict=True))
+    other = right.withColumnsRenamed(theirs)
+    on = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(theirs[n])) for n in names))
+    return left.join(other, on, how).drop(*theirs.values())
 
 
 def smallest_hashes(df: DataFrame, key: str, limit: int) -> DataFrame:

@@ -227,9 +227,12 @@ def test_line_dedup_matches_brute_force(spark, broadcast_lines):
         rows.append((host, rng.choice([None, "", "menu 1"]) if i % 20 == 0 else "\n".join(lines)))
     rows += rows[:9] + [("a", "x\n" * 20_000)]
     df = spark.createDataFrame([(i, t, h, 9) for i, (h, t) in enumerate(rows)], "doc_id int, text string, source string, host int")
-    out = linededup.drop_boilerplate(df, max_ratio=0.15, min_pages=3, broadcast_lines=broadcast_lines)
-    assert out.columns == [*df.columns, "__lines", "__dropped"]
-    got = {r.doc_id: (r.text, r["__lines"], r["__dropped"]) for r in out.collect()}
+    df = df.withColumns({c: F.lit(1) for c in ("stay", "lists", "bad_host", "own_host", "p1", "right_p1", "h1")})
+    plain = linededup.drop_boilerplate(df, max_ratio=0.15, min_pages=3, broadcast_lines=broadcast_lines)
+    assert plain.columns == df.columns
+    out = linededup.drop_boilerplate(df, max_ratio=0.15, min_pages=3, broadcast_lines=broadcast_lines, counts=("n_lines", "n_dropped"))
+    got = {r.doc_id: (r.text, r["n_lines"], r["n_dropped"]) for r in out.collect()}
+    assert {r.doc_id: r.text for r in plain.collect()} == {d: t for d, (t, _, _) in got.items()}
     want = brute_lines(rows, 0.15, 3)
     assert [got[i][0] for i in range(len(rows))] == want
     assert got[len(rows) - 1][1] == 20_001
@@ -241,6 +244,19 @@ def test_line_dedup_of_nothing(spark):
     assert linededup.digest(spark.createDataFrame([], "doc_id int, text string, source string")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_lines", [200_000, 0])
+def test_a_hot_host_with_many_lines(spark, broadcast_lines):
+    """A host of a third of the pages, with hundreds of boilerplate lines: all of them are found in their lists."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        host = "hot" if i % 3 == 0 else f"h{i % 40}"
+        rows.append((host, "\n".join([f"own {i}", *(f"line {j}" for j in range(300) if rng.random() < 0.4)])))
+    df = spark.createDataFrame([(i, t, h, "x", 1) for i, (h, t) in enumerate(rows)], DOC)
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(df, max_ratio=0.3, min_pages=4, broadcast_lines=broadcast_lines).collect()}
+    assert [got[i] for i in range(300)] == brute_lines(rows, 0.3, 4)
+
+
 def brute_chats(rows):
     turns = {}
     for c, turn, role, text in set(rows):
