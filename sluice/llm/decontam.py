@@ -6,8 +6,13 @@ contained in a document only if its rarest word is, so this one word is its nece
 all documents, the document's words are joined with the prefixes, the word's place in the window gives the start,
 which must leave room on both sides (length and positional bounds), and what is left is compared word by word.
 
+Items are indexed in pieces of bounded size. All pieces go through in one read of the documents: a task takes a batch
+through one index after the other and holds one at a time. With more than one piece rarity is counted by hash buckets,
+in one read for all of them; which of a window's words is its prefix has no influence on what is found.
+
 Null and empty texts have no words and no hits. Repeated documents each get a row; repeated items count once.
-An item whose id is null marks words and counts as an item of the name "null".
+An item whose id is null marks words and counts as an item of the name "null". No documents give no rows, no items no
+hits. Texts of any length are read whole. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +30,10 @@ from pyspark.sql import types as T
 
 from sluice.llm.common import raw
 
-#: Bytes of item text that are held in memory at once; more items go through in further passes over the documents.
+#: Bytes of item text in an index, of which a task holds one at a time; log2 of the buckets in which words are counted.
 PIECE_BYTES = 4 << 20
+BUCKET_BITS = 18
+SLICE_BYTES = 1 << 20
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -50,11 +58,9 @@ class Index:
         for row, ids in zip(self.words, named, strict=True):
             row[: len(ids)] = ids
 
-    def order(self, counts: dict[int, int]) -> None:
-        """Puts every window under its rarest word by `counts` (absent: 0; ties go to the smaller word number)."""
-        count = np.zeros(len(self.vocabulary) + 1, np.int64)
-        for k, v in counts.items():
-            count[k] = v
+    def order(self, counts: np.ndarray) -> None:
+        """Puts every window under its rarest word; counts: occurrences by word number (ties go to the smaller one)."""
+        count = np.append(counts, 0)
         rank = np.empty(len(count), np.int64)
         rank[np.argsort(count, kind="stable")] = np.arange(len(count))
         self.offset = np.argmin(np.where(self.words >= 0, rank[self.words], 1 << 62), axis=1) if len(self.words) else np.zeros(0, np.int64)
@@ -88,51 +94,82 @@ class Index:
                 yield start, w
 
 
-def _counts(docs: DataFrame, index: Index) -> dict[int, int]:
+def _bucket(word: bytes) -> int:
+    return xxhash.xxh32_intdigest(word) >> (32 - BUCKET_BITS)
+
+
+def _counts(docs: DataFrame, index: Index) -> np.ndarray:
     """Occurrences in all documents of each word of the index."""
-    shared = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
+    return _counted(docs, lambda ws: np.fromiter((vocabulary.value.get(w, -1) for w in ws), np.int64, len(ws)), len(index.vocabulary))
+
+
+def _bucket_counts(docs: DataFrame) -> np.ndarray:
+    """Occurrences in all documents of the words of each bucket."""
+    return _counted(docs, lambda ws: np.fromiter(map(_bucket, ws), np.int64, len(ws)), 1 << BUCKET_BITS)
+
+
+def _counted(docs: DataFrame, numbers: Callable[[list[bytes]], np.ndarray], size: int) -> np.ndarray:
+    """How often each number below `size` comes up among those of the documents' words; -1 is none."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, total = shared.value, np.zeros(len(shared.value) + 1, np.int64)
+        total = np.zeros(size + 1, np.int64)
         for b in batches:
             for text in b.column(0):
-                ws = words(raw(text))
-                total += np.bincount(np.fromiter((vocabulary.get(w, -1) for w in ws), np.int64, len(ws)) + 1, minlength=len(total))
+                total += np.bincount(numbers(words(raw(text))) + 1, minlength=size + 1)
         some = np.nonzero(total[1:])[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[1:][some])], ["word", "n"])
 
-    part = docs.mapInArrow(work, "word long, n long")
-    return {r[0]: r[1] for r in part.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    out = np.zeros(size, np.int64)
+    for r in docs.mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r.word] = r.n
+    return out
 
 
-def _pass(index: Broadcast, text_at: int, last: bool, clean_only: bool, keep: int) -> Callable:
-    """mapInArrow function: adds the hits of `index` to the columns __hits and __items, and at the end sums up."""
+def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of one document or of about SLICE_BYTES of text, whose words are held together."""
+    begin = size = 0
+    for i, text in enumerate(batch.column(text_at)):
+        n = len(text.as_buffer()) if text.is_valid else 0
+        if size and size + n > SLICE_BYTES:
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def _held(index: Broadcast, alone: bool) -> Index:
+    """A broadcast index; unless it is the only one, the worker does not keep it."""
+    value = index.value
+    if not alone:
+        index.__dict__.pop("_value", None)
+    return value
+
+
+def _hits(indexes: list[Broadcast], text_at: int, clean_only: bool) -> Callable:
+    """mapInArrow function: adds RESULT to the rows, or keeps those without hits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = index.value
-        for b in batches:
-            text, hits, items = b.column(text_at), b.column(len(b.schema) - 2), b.column(len(b.schema) - 1)
-            new_hits, new_items, n_words = [], [], []
-            for t, h, i in zip(text, hits, items, strict=True):
-                ids = ix.numbers(words(raw(t)))
-                found, names = [np.array(h.as_py() or [], np.int64)], set(i.as_py() or [])
-                for start, w in ix.find(ids):
-                    found.append(np.stack([start, start + ix.length[w]], 1).ravel())
-                    names.update(x for one in np.unique(w) for x in ix.names[one])
-                n_words.append(len(ids))
-                new_hits.append(_merge(np.concatenate(found)))
-                new_items.append(sorted(names))
-            if not last:
-                arrays = [*b.columns[:-2], pa.array(new_hits, pa.list_(pa.int64())), pa.array(new_items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, b.schema.names)
-                continue
-            n_hit = [int((x[1::2] - x[::2]).sum()) for x in new_hits]
+        for b in (x for whole in batches for x in _slices(whole, text_at)):
+            texts = [words(raw(t)) for t in b.column(text_at)]
+            found: list[list[np.ndarray]] = [[] for _ in texts]
+            names: list[set[str]] = [set() for _ in texts]
+            for index in indexes:
+                ix = _held(index, len(indexes) == 1)
+                for ws, bounds, who in zip(texts, found, names, strict=True):
+                    ids = ix.numbers(ws)
+                    for start, w in ix.find(ids):
+                        bounds.append(np.stack([start, start + ix.length[w]], 1).ravel())
+                        who.update(x for one in np.unique(w) for x in ix.names[one])
+            merged = [_merge(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in found]
+            n_hit = [int((x[1::2] - x[::2]).sum()) for x in merged]
             if clean_only:
-                yield pa.RecordBatch.from_arrays(b.columns[:keep], b.schema.names[:keep]).filter(pa.array([n == 0 for n in n_hit], pa.bool_()))
+                yield b.filter(pa.array([n == 0 for n in n_hit], pa.bool_()))
                 continue
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in new_items]
-            sums = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in new_items], pa.int64()), pa.array(digest, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:keep], *sums], [*b.schema.names[:keep], *(f.name for f in RESULT)])
+            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
+            sums = [pa.array(map(len, texts), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, names), pa.int64()), pa.array(digest, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *sums], [*b.schema.names, *(f.name for f in RESULT)])
 
     return work
 
@@ -149,24 +186,25 @@ def _merge(bounds: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, piece_bytes: int, clean_only: bool) -> DataFrame:
-    keep = len(docs.columns)
-    work = docs.withColumns({"__hits": F.lit(None).cast("array<long>"), "__items": F.lit(None).cast("array<string>")})
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("binary"), F.lit(b"")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     pieces = max(1, -(-total // piece_bytes))
-    texts, text_at = docs.select(text_col), docs.columns.index(text_col)
+    texts, buckets, indexes = docs.select(text_col), None, []
     for i in range(pieces):
         index = Index([(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(pieces)) == i).collect()], window)
-        index.order(_counts(texts, index))
-        last = i == pieces - 1
-        schema = work.schema if not last else docs.schema if clean_only else T.StructType(docs.schema.fields + RESULT)
-        work = work.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index), text_at, last, clean_only, keep), schema)
-    return work
+        if pieces == 1:
+            index.order(_counts(texts, index))
+        else:
+            buckets = _bucket_counts(texts) if buckets is None else buckets
+            index.order(buckets[np.fromiter(map(_bucket, index.vocabulary), np.int64, len(index.vocabulary))])
+        indexes.append(docs.sparkSession.sparkContext.broadcast(index))
+    schema = docs.schema if clean_only else T.StructType(docs.schema.fields + RESULT)
+    return docs.mapInArrow(_hits(indexes, docs.columns.index(text_col), clean_only), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Per document: its id, n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated."""
-    return _scan(docs.select(F.col(id_col), F.col(text_col).alias("__own")), benchmark, "__own", item_col, item_text_col, window, piece_bytes, False).drop("__own")
+    return _scan(docs.select(F.col(id_col), F.col(text_col).alias("document_text")), benchmark, "document_text", item_col, item_text_col, window, piece_bytes, False).drop("document_text")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, piece_bytes: int = PIECE_BYTES) -> DataFrame:
