@@ -8,13 +8,14 @@ neutral mention of a group moves the score little. Inputs of a score are the tex
 
 Null and empty texts get the score of no stems. Repeated rows get equal scores. If labels are missing or all equal,
 the score is the share of toxic labels, smoothed. A label that is null is no label; of several labels of a document
-each counts. An empty table gives no rows.
+each counts; of several documents with a labelled id one is learnt from. An empty table gives no rows. Texts of any
+length are read whole, in pieces. Columns besides id, text and labels play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,9 +50,18 @@ IDENTITIES = (
     ("disabled", "deaf", "blind", "autistic"),
     ("immigrants", "refugees", "natives"),
     ("young", "old"),
+    ("frauen", "männer"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten"),
+    ("ausländer", "einwanderer", "flüchtlinge"),
+    ("mujeres", "hombres"),
+    ("cristianos", "musulmanes", "judíos", "budistas"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("femmes", "hommes"),
+    ("chrétiens", "musulmans", "juifs", "bouddhistes"),
+    ("immigrés", "réfugiés", "étrangers"),
 )
-_TERM = re.compile(rb"(?<![a-z])(" + b"|".join(t.encode() for kind in IDENTITIES for t in kind) + rb")(?![a-z])")
-_KIND = {t.encode(): kind for kind in IDENTITIES for t in kind}
+_KIND = {t.encode(): kind for kind in reversed(IDENTITIES) for t in kind}  # a term of two kinds belongs to the first
+_TERM = re.compile(rb"(?<![a-z\x80-\xff])(" + b"|".join(_KIND) + rb")(?![a-z\x80-\xff])")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * i & (1 << 64) - 1 | 1) for i in range(len(LENGTHS))]
 
@@ -112,11 +122,13 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learnable: Column, max_train: int) -> DataFrame:
-    """label, text of at most about max_train labelled documents."""
+    """label, text of at most max_train labelled ids, one document each."""
     usable = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__id IS NOT NULL AND __label IN (0, 1)")
     chosen = smallest_hashes(usable.where(learnable), "__id", max_train)
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("binary").alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select(F.col("__label").alias("label"), "text")
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    found = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")  # an id that is repeated in docs gives one text
+    return found.groupBy("__id", F.col("__label").alias("label")).agg(one).select("label", "text")
 
 
 def train(sample: DataFrame, n_stems: int = STEMS, ridge: float = RIDGE, fairness: float = FAIRNESS) -> Model:
@@ -184,26 +196,48 @@ def _fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float, fairness
     positive = max(1.0, y.sum())
     weight = np.where(y > 0, 0.5 * n / positive, 0.5 * n / max(1.0, n - positive)).astype(np.float32)  # both labels count alike
     xb = np.hstack([x, np.ones((n, 1), np.float32)])
-    w = np.zeros(xb.shape[1], np.float32)
-    # a few power iterations give the step length
-    v = np.ones_like(w)
-    for _ in range(20):
-        v = xb.T @ (weight * (xb @ v)) * 0.25 / n
-        if len(swaps):
-            v[:-1] += fairness / len(swaps) * (swaps.T @ (swaps @ (v[:-1])))
-        size = float(np.linalg.norm(v)) or 1.0
-        v /= size
-    rate, back, t = 1 / (1.2 * size + ridge / n), w, 1.0
-    for _ in range(steps):
-        after = (1 + float(np.sqrt(1 + 4 * t * t))) / 2  # a numpy scalar would turn all into doubles
-        z = w + (t - 1) / after * (w - back)
-        p = 1 / (1 + np.exp(-np.clip(xb @ z, -30, 30)))
-        g = xb.T @ (weight * (p - y)) / n
-        g[:-1] += ridge / n * z[:-1]
-        if len(swaps):
-            g[:-1] += fairness / len(swaps) * (swaps.T @ (swaps @ z[:-1]))
-        back, w, t = w, (z - rate * g).astype(np.float32), after
-    return w[:-1].astype(np.float64), float(w[-1])
+    start = np.random.default_rng(0).normal(size=xb.shape[1]).astype(np.float32)  # not orthogonal to what swaps change
+    steepest = _largest(lambda v: xb.T @ (weight * (xb @ v)) * 0.25 / n, start)
+    if len(swaps):
+        steepest += _largest(lambda v: fairness / len(swaps) * (swaps.T @ (swaps @ v)), start[:-1])
+
+    def descended(rate: float) -> np.ndarray:
+        w = back = np.zeros(xb.shape[1], np.float32)
+        t = 1.0
+        for _ in range(steps):
+            after = (1 + float(np.sqrt(1 + 4 * t * t))) / 2  # a numpy scalar would turn all into doubles
+            z = w + (t - 1) / after * (w - back)
+            p = 1 / (1 + np.exp(-np.clip(xb @ z, -30, 30)))
+            g = xb.T @ (weight * (p - y)) / n
+            g[:-1] += ridge / n * z[:-1]
+            if len(swaps):
+                g[:-1] += fairness / len(swaps) * (swaps.T @ (swaps @ z[:-1]))
+            back, w, t = w, (z - rate * g).astype(np.float32), after
+        return w
+
+    def loss(w: np.ndarray) -> float:
+        margin = xb @ w
+        fair = fairness / len(swaps) * float(((swaps @ w[:-1]) ** 2).sum()) / 2 if len(swaps) else 0.0
+        return float(np.mean(weight * (np.logaddexp(0, margin) - y * margin))) + ridge / n * float(w[:-1] @ w[:-1]) / 2 + fair
+
+    rate, before = 1 / (1.2 * steepest + ridge / n), loss(np.zeros(xb.shape[1], np.float32))
+    while True:  # steps that were too long after all, which the estimate makes unlikely, are halved
+        with np.errstate(all="ignore"):
+            w = descended(rate)
+            if loss(w) <= before:
+                return w[:-1].astype(np.float64), float(w[-1])
+        rate /= 2
+
+
+def _largest(times: Callable[[np.ndarray], np.ndarray], v: np.ndarray, rounds: int = 40) -> float:
+    """The largest eigenvalue of a positive matrix, by power iteration from v."""
+    size = float(np.linalg.norm(v)) or 1.0
+    for _ in range(rounds):
+        v = times(v / size)
+        size = float(np.linalg.norm(v))
+        if not size:
+            return 0.0
+    return size
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_train: int = MAX_TRAIN) -> DataFrame:

@@ -230,6 +230,51 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.classify(df.where("false"), none).count() == 0
 
 
+def test_stems_match_brute_force():
+    rng = random.Random(1)
+    words = ["a", "an", "the", "seven", "Überwort", "pathetic", "patheticism", "ñ", "x" * 20]
+    for _ in range(30):
+        text = toxicity.fold(" 1".join(rng.choices(words, k=rng.randint(0, 30))).encode())
+        want = set()
+        for word in text.split():
+            for n, multiplier in zip(toxicity.LENGTHS, toxicity._MULTIPLIERS):
+                beginning = int.from_bytes((word + b" " * 8)[:n], "little")
+                want.add(beginning * int(multiplier) % (1 << 64) >> 64 - toxicity.BUCKET_BITS)
+        assert list(toxicity.stems(text)) == sorted(want)
+
+
+def test_the_fit_is_a_minimum():
+    """No small step lowers log loss + ridge + fairness, as written out here."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((300, 12)) < 0.3).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] + 0.5 * rng.random(300) > 0.9).astype(np.float32)
+    swaps = np.zeros((40, 12), np.float32)
+    swaps[np.arange(40), rng.integers(0, 12, 40)] = 1
+    swaps[np.arange(40), rng.integers(0, 12, 40)] -= 1
+
+    def loss(w, bias, ridge, fairness):
+        weight = np.where(y > 0, 150 / y.sum(), 150 / (300 - y.sum()))
+        margin = x @ w + bias
+        each = weight * (np.logaddexp(0, margin) - y * margin)
+        return each.mean() + ridge / 300 * (w @ w) / 2 + fairness / 40 * ((swaps @ w) ** 2).sum() / 2
+
+    for fairness in (0.0, 5.0):
+        w, bias = toxicity._fit(x, y, swaps, 1.0, fairness, steps=3000)
+        best = loss(w, bias, 1.0, fairness)
+        for _ in range(60):
+            step = rng.normal(size=13) * 0.02
+            assert loss(w + step[:12], bias + step[12], 1.0, fairness) > best - 1e-6
+
+
+def test_a_repeated_labelled_id_gives_one_text(spark):
+    rows = [(1, f"text {i % 3}", "s", 1, "x") for i in range(50)] + [(2, None, "s", 1, "x"), (3, "other", "s", 1, "x")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (4, 1)], "doc_id long, toxic int")
+    got = sorted((r.label, bytes(r.text)) for r in toxicity._sample(spark.createDataFrame(rows, DOC), labels, "doc_id", "text", "toxic", F.lit(True), 100).collect())
+    assert [g[0] for g in got] == [0, 0, 1, 1] and got[0] == (0, b"") and got[1] == (0, b"other")
+
+
 def test_counterfactuals():
+    assert toxicity.counterfactuals(toxicity.fold("Die Männer und die Flüchtlinge.".encode())) == ["die frauen und die ausländer ".encode(), "die männer und die einwanderer ".encode()]
+    assert toxicity.counterfactuals("überfrauen frauenä".encode()) == []
     assert toxicity.counterfactuals(b"a muslim man") == [b"a jewish girl", b"a hindu boy"]
     assert toxicity.counterfactuals(b"manifold") == []
