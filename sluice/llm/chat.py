@@ -103,9 +103,11 @@ def _whole_chats(rows: DataFrame, kept: DataFrame, repeated: bool) -> DataFrame:
     return joined.groupBy("conv_id", "n").agg(F.array_join(lines, "").alias("rendered")).select("conv_id", F.lit(0).alias("segment"), F.col("n").alias("n_turns"), "rendered")
 
 
-def _segments(rows: DataFrame, turns: DataFrame, kept: DataFrame, repeated: bool, segment: int) -> DataFrame:
+def _segments(rows: DataFrame, turns: DataFrame, kept: DataFrame, few: bool, repeated: bool, segment: int) -> DataFrame:
     """Conversations of any size: rows get their positions by a join on all of a turn but its text, which is hashed."""
     placed = meet(turns, kept, "conv_id")
+    if few:  # only their texts are shuffled
+        rows = meet(rows, F.broadcast(kept.select("conv_id")), "conv_id", how="left_semi")
     texts = rows.select("conv_id", "turn", "role", "text", *_hashes(F.col("text")))
     texts = meet(texts, placed, "conv_id", "turn", "role", "none", "h1", "h2").select("conv_id", "n", "pos", "role", "text")
     texts = texts.dropDuplicates(["conv_id", "pos"]) if repeated else texts
@@ -122,6 +124,6 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     kept = cut(maximal(turns))
     long = kept.where(F.col("n") > segment)
     if kept.count() > broadcast_chats:
-        return _segments(rows, turns, kept, repeated, segment)
+        return _segments(rows, turns, kept, False, repeated, segment)
     short = _whole_chats(rows, kept.where(F.col("n") <= segment), repeated)
-    return short if long.isEmpty() else short.unionByName(_segments(rows, turns, long, repeated, segment))
+    return short if long.isEmpty() else short.unionByName(_segments(rows, turns, long, True, repeated, segment))
