@@ -120,6 +120,29 @@ def test_slots_match_the_drawn_counts(spark, monkeypatch, broadcast):
         assert sorted(seen.values(), reverse=True) == [q // blocks[sid] + (i < q % blocks[sid]) for i in range(min(q, blocks[sid]))]
 
 
+@pytest.mark.parametrize("block", [3, 32])
+def test_taken_words_are_those_of_the_slots(spark, block):
+    """What `mix` takes of a document, by hand from the places of documents and the slots' blocks."""
+    rng = random.Random(block)
+    rows = [(i, "w " * rng.randint(0, 90), rng.choice(["a", "b", "c", "d", "hot", "hot", "hot"]), 0, "") for i in range(200)]
+    df = spark.createDataFrame(rows, DOC)
+    documents, _ = mixing.plan(df, block=block)
+    places = documents.collect()
+    slots = mixing.slots(documents, block=block, shard_slots=64).collect()
+    want = {}
+    for d in places:
+        inside = [max(0, min(d.start + d.size, s.block_index * block + s.words) - max(d.start, s.block_index * block)) for s in slots if s.sid == d.sid]
+        want[d.id] = (sum(inside), sum(n > 0 for n in inside))
+    got = {r.doc_id: (r.taken, r.n_pieces) for r in mixing.mix(df, block=block, shard_slots=64).collect()}
+    assert got == want
+    # the streams: a source's documents fill its places without gaps
+    for sid in {d.sid for d in places}:
+        at = 0
+        for start, size in sorted((d.start, d.size) for d in places if d.sid == sid and d.size):
+            assert start == at
+            at += size
+
+
 def test_mixed_texts_hold_the_taken_words(spark):
     rows = [(i, " ".join(f"d{i}w{j}" for j in range(i % 23)), "abc"[i % 3], 0, "") for i in range(120)] + [(7, "d7 again", None, 0, ""), (200, None, "a", 0, "")]
     df = spark.createDataFrame(rows, DOC)
