@@ -4,9 +4,11 @@ A page's lines are its text cut at line feeds; a line's key is its text without
 the pages that contain a line are divided by all the host's pages; the line is boilerplate if the ratio exceeds
 `max_ratio` and at least `min_pages` pages have it. Boilerplate lines go wherever they occur on the host.
 
-Blank lines always stay. A page counts once for a line it repeats. A null text is a page without lines and stays null;
-a text whose lines all go becomes empty. Null is a host like any other. Repeated rows are pages of their own. No rows
-give no rows. Long texts are cut like others: a page's lines are one array. Columns may have any names.
+Pages of a host with the same text count as one, in both counts: lines that only a page's copies repeat are that page's
+own, and would otherwise go from all copies alike. Blank lines always stay. A page counts once for a line it repeats. A
+null text is a page without lines and stays null; a text whose lines all go becomes empty. Null is a host like any
+other. Every row has its result, repeated rows too. No rows give no rows. Long texts are cut like others: a page's lines
+are one array. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, meet, same, unused
+from sluice.llm.common import cut, meet, unused
 
 #: Boilerplate lines up to this many are broadcast (40 bytes each); more are joined by shuffles.
 BROADCAST_LINES = 200_000
@@ -35,14 +37,21 @@ def _hash(key: Column) -> Column:
 
 
 def boilerplate(df: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """host, h1, h2 of the boilerplate lines of each host."""
-    pages = df.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    totals = cut(pages.groupBy("host").agg(F.count("*").alias("pages")))  # a table of its own, so that a hot host's lines can be split
-    keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _key), lambda k: k != ""))
-    lines = pages.select("host", F.explode(keys).alias("key")).select("host", _hash(F.col("key")).alias("h")).select("host", "h.h1", "h.h2")
-    counts = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    """host, h1, h2 of the boilerplate lines of each host.
+
+    One pass over the texts: the blank key, which every page is given and no line counts for, counts the host's pages.
+    Copies meet by (line, page), so neither a hot host nor a line on all its pages is one task's.
+    """
+    text = F.col(text_col)
+    keys = F.array_distinct(F.filter(F.transform(_lines(text), _key), lambda k: k != ""))
+    keys = F.array_append(F.coalesce(keys, F.array().cast("array<string>")), "")
+    pages = df.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("p1"), F.xxhash64(F.lit("second"), text).alias("p2"), F.explode(keys).alias("key"))
+    lines = pages.select("host", "p1", "p2", _hash(F.col("key")).alias("h"), (F.col("key") == "").alias("total")).select("host", "p1", "p2", "h.h1", "h.h2", "total")
+    counts = lines.groupBy("host", "h1", "h2", "total").agg(F.count_distinct("p1", "p2").alias("n"))
+    counts = cut(counts.where(F.col("total") | (F.col("n") >= min_pages)))
+    totals = counts.where("total").select("host", F.col("n").alias("pages"))
     # few lines of a host can exceed the ratio, but many more reach min_pages: totals come by a join, not a broadcast hint
-    return counts.join(totals, same(counts, totals, "host")).where(F.col("n") / F.col("pages") > max_ratio).select(counts.host, "h1", "h2")
+    return meet(counts.where("NOT total"), totals, "host").where(F.col("n") / F.col("pages") > max_ratio).select("host", "h1", "h2")
 
 
 def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 4, broadcast_lines: int = BROADCAST_LINES, counts: tuple[str, str] | None = None) -> DataFrame:

@@ -92,11 +92,12 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
        CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place = 1 THEN NULL ELSE top END AS refers_to
 FROM d""",
     "op6_linededup": """
-WITH p AS (SELECT row_number() OVER () AS id, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT id, source, pos, lines[pos] AS line, trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
-      FROM (SELECT id, source, lines, unnest(range(1, len(lines) + 1)) AS pos FROM p)),
-tot AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-cnt AS (SELECT source, k, count(DISTINCT id) AS n FROM l WHERE k <> '' GROUP BY source, k),
+WITH p AS (SELECT *, min(id) OVER (PARTITION BY source, text) AS page
+           FROM (SELECT row_number() OVER () AS id, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents)),
+l AS (SELECT id, page, source, pos, lines[pos] AS line, trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+      FROM (SELECT id, page, source, lines, unnest(range(1, len(lines) + 1)) AS pos FROM p)),
+tot AS (SELECT source, count(DISTINCT page) AS pages FROM p GROUP BY source),
+cnt AS (SELECT source, k, count(DISTINCT page) AS n FROM l WHERE k <> '' GROUP BY source, k),
 bad AS (SELECT cnt.source, cnt.k FROM cnt JOIN tot ON cnt.source IS NOT DISTINCT FROM tot.source WHERE n >= 4 AND n / pages > 0.1),
 kept AS (SELECT l.id, l.pos, l.line FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.k = bad.k WHERE bad.k IS NULL),
 s AS (SELECT id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM kept GROUP BY id)

@@ -208,7 +208,7 @@ def test_chains_are_the_pigeonring_condition():
 
 def brute_lines(rows, max_ratio, min_pages):
     pages, having = {}, {}
-    for host, text in rows:
+    for host, text in set(rows):
         pages[host] = pages.get(host, 0) + 1
         for k in {x.strip(" \t\n\x0b\f\r") for x in (text or "").split("\n")} - {""}:
             having[host, k] = having.get((host, k), 0) + 1
@@ -240,6 +240,18 @@ def test_line_dedup_matches_brute_force(spark, broadcast_lines):
     assert all(got[i][1:] == (0, 0) for i, (_, t) in enumerate(rows) if t is None)
 
 
+@pytest.mark.parametrize("broadcast_lines", [200_000, 0])
+def test_copies_of_a_page_keep_their_lines(spark, broadcast_lines):
+    """A text copied to most of a host's pages is one page of it; a line on as many different pages is boilerplate."""
+    rows = [("hot", "only here\nand here\nmenu")] * 60 + [("hot", f"own {i}\nmenu") for i in range(20)] + [("hot", None)] * 9
+    rows += [("b", "only here\nmenu")] * 5 + [(None, None)] * 5
+    df = spark.createDataFrame([(i, t, h, "x", 1) for i, (h, t) in enumerate(rows)], DOC).repartition(7)
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(df, max_ratio=0.1, min_pages=4, broadcast_lines=broadcast_lines).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_lines(rows, 0.1, 4)
+    assert got[0] == got[59] == "only here\nand here" and got[60] == "own 0" and got[80] is None
+    assert got[89] == "only here\nmenu"
+
+
 def test_line_dedup_of_nothing(spark):
     assert linededup.digest(spark.createDataFrame([], "doc_id int, text string, source string")).count() == 0
 

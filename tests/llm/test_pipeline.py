@@ -41,7 +41,7 @@ def test_quality_stage(spark, stages):
 
 def test_line_stage(stages):
     before = sorted((r.doc_id, r.source, r.text) for r in stages[1].collect())
-    want = brute_lines([(s, t) for _, s, t in before], 0.1, 4)
+    want = brute_lines([(s, t) for _, s, t in before], corpus_pipeline.BOILERPLATE_RATIO, 4)
     assert _rows(stages[2]) == [(d, t) for (d, _, _), t in zip(before, want)]
     assert all(r.n_chars == len(r.text) for r in stages[2].collect())
 
