@@ -30,7 +30,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.digest(table(spark, sf_dir, "documents"), host_col="source", max_ratio=0.1, min_pages=4)
+    return linededup.digest(table(spark, sf_dir, "documents"), host_col="source", max_ratio=0.001, min_pages=4)
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ l AS (SELECT id, page, source, pos, lines[pos] AS line, trim(lines[pos], ' ' ||
       FROM (SELECT id, page, source, lines, unnest(range(1, len(lines) + 1)) AS pos FROM p)),
 tot AS (SELECT source, count(DISTINCT page) AS pages FROM p GROUP BY source),
 cnt AS (SELECT source, k, count(DISTINCT page) AS n FROM l WHERE k <> '' GROUP BY source, k),
-bad AS (SELECT cnt.source, cnt.k FROM cnt JOIN tot ON cnt.source IS NOT DISTINCT FROM tot.source WHERE n >= 4 AND n / pages > 0.1),
+bad AS (SELECT cnt.source, cnt.k FROM cnt JOIN tot ON cnt.source IS NOT DISTINCT FROM tot.source WHERE n >= 4 AND n / pages > 0.001),
 kept AS (SELECT l.id, l.pos, l.line FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.k = bad.k WHERE bad.k IS NULL),
 s AS (SELECT id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM kept GROUP BY id)
 SELECT p.doc_id, CAST(coalesce(len(p.lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(p.lines), 0) - coalesce(s.n, 0) AS INTEGER) AS n_dropped,
