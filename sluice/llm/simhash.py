@@ -7,7 +7,8 @@ white space) has none.
 `classes` links whole fingerprints (over all shingles, repeats included; 0 without words, linked like any other) within
 a number of bits. `similar_classes` links texts whose sets of shingles have a Jaccard similarity of `similarity` or
 more, which flips too many bits of one fingerprint for a join: a text gets a ring of segments, each the fingerprint of
-a narrow group of its shingles, and segments either agree or differ.
+a narrow group of its shingles, and segments either agree or differ. Short rings over a part of the shingles find most
+links as stars; whole rings, with more segments than two similar texts can differ in, find all that are left.
 
 Repeated rows share a class, and rows with a null id keep their class but never name it unless every id in it is null.
 Texts of any length are read whole, in pieces. No rows give no rows; other columns may have any names.
@@ -16,8 +17,9 @@ Texts of any length are read whole, in pieces. No rows give no rows; other colum
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,14 @@ PIECE = 1 << 20
 SEGMENTS, DIFFERING, GROUP = 16, 12, 2
 #: Keys of dropped or compared rows up to this many are broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
+#: Segments of whole rings that a task deals at once, and about how many are brought together at once.
+DEALT, MET = 1 << 20, 1 << 20
+#: The largest sets of the levels of whole rings.
+TOPS = [4]
+while TOPS[-1] < 1 << 40:
+    TOPS.append(TOPS[-1] * 3 // 2)
 _DEAL = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -113,6 +122,67 @@ def ring(h: np.ndarray, at_level: int) -> np.ndarray:
     return out
 
 
+def apart(n1, n2, similarity: float):
+    """The most shingles that one only of two sets of these sizes has, if their similarity is `similarity` or more."""
+    return np.floor((n1 + n2) * (1 - similarity) / (1 + similarity) + 1e-6)
+
+
+def whole_rings(h: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int]]:
+    """(level, most, segments) of a set for each level where it may have a similar one.
+
+    Two similar sets are both at the level of the larger. `most` is the most shingles that only one of this set and a
+    similar one there has; a level has more segments than that, so some segment agrees.
+    """
+    n = len(h)
+    reach = int(n / similarity + 1e-9)
+    for at in range(bisect_left(TOPS, n), bisect_left(TOPS, reach) + 1):
+        most = int(apart(n, min(TOPS[at], reach), similarity))
+        if most:  # else only equal sets are similar
+            d = int(apart(TOPS[at], TOPS[at], similarity))
+            yield at, most, d + 1 + (d + 15) // 16
+
+
+def dealt(h: np.ndarray, segments: int, dealing: int = 0) -> np.ndarray:
+    """The segment of each shingle, by hash."""
+    x = (h ^ np.uint64(dealing)) * _MIX
+    x = (x ^ (x >> np.uint64(32))) * _DEAL
+    return (((x >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
+
+
+def whole_keys(h: np.ndarray, similarity: float) -> np.ndarray:
+    """Hashes of (level, dealing, segment, its shingles) of a set's whole rings; similar sets have one in common.
+
+    Empty segments have no key. A set with no more segments than it may differ in is dealt again, to more segments, until
+    it has; of two sets the one that stops first finds an equal segment of the other's in that dealing.
+    """
+    out = [np.zeros(0, np.uint64)]
+    for at, most, segments in whole_rings(h, similarity):
+        for dealing in count():
+            group = dealt(h, segments, dealing)
+            some = np.nonzero(np.bincount(group, minlength=segments))[0]
+            low, high = (np.bincount(group, x.astype(np.float64), segments)[some].astype(np.uint64) for x in (h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)))
+            place = some.astype(np.uint64) + np.uint64(at * 1024 + dealing << 40)
+            x = (low + (high << np.uint64(32)) ^ place * _DEAL) * _MIX
+            x = (x ^ (x >> np.uint64(32)) ^ high) * _DEAL
+            out.append(x ^ (x >> np.uint64(29)))
+            if len(some) > most:
+                break
+            segments += segments // 4 + 1
+    return np.concatenate(out)
+
+
+def boxes(h: np.ndarray, similarity: float) -> list[tuple[int, bytes]]:
+    """(level, a byte for each segment): parities of the counts of a segment's shingles, dealt to 8 by hash.
+
+    The bits in which two boxes differ are no more than the shingles that one only of the two segments has.
+    """
+    out = []
+    for at, _, segments in whole_rings(h, similarity):
+        bit = dealt(h, segments) * 8 + (h & np.uint64(7)).astype(np.int64)
+        out.append((at, np.packbits((np.bincount(bit, minlength=8 * segments) & 1).astype(np.uint8)).tobytes()))
+    return out
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """A row of `id`, `text_hash` (of the raw text) and `fp` (the fingerprint as a signed long) per row of `df`."""
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
@@ -185,24 +255,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def rings(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """id, text_hash, node (128-bit hash of the set of shingles), n (its size), rings (level, segments) per row of `df`.
+    """id, text_hash, node (128-bit hash of the set of shingles), n (its size), rings (level, segments) and boxes (level,
+    boxes) of whole rings per row of `df`.
 
     A text whose size is so near the next level's that a similar one may be there has a ring of that level too.
     """
     one = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("segments", T.ArrayType(T.LongType()))])
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("rings", T.ArrayType(one))])
+    box = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("boxes", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("rings", T.ArrayType(one)), T.StructField("boxes", T.ArrayType(box))])
     kind = pa.list_(pa.struct([("level", pa.int32()), ("segments", pa.list_(pa.int64()))]))
+    box_kind = pa.list_(pa.struct([("level", pa.int32()), ("boxes", pa.binary())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, found = [], [], []
+            nodes, sizes, found, whole = [], [], [], []
             for x in b.column(2):
                 h = shingle_set(raw(x), shingle)
                 nodes.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 levels = sorted({level(len(h)), level(int(len(h) / similarity + 1e-9))}) if len(h) else []
                 found.append([{"level": i, "segments": ring(h, i).view(np.int64)} for i in levels])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, kind)], schema.names)
+                whole.append([{"level": i, "boxes": x} for i, x in boxes(h, similarity)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, kind), pa.array(whole, box_kind)], schema.names)
 
     text = F.col(text_col)
     return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(work, schema)
@@ -233,7 +307,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Candidate links (node, other) between rows of `nodes` (node, n, rings).
+    """Candidate links (node, other) between rows of `nodes` (node, n, rings): most, `remaining_pairs` has the rest.
 
     Texts that have a segment in common meet in its bucket, as a star: each is linked to the bucket's most connected
     member, the one that shares its segments with most others (of a text and its edited copies that is the text, and
@@ -256,6 +330,121 @@ def similar_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     return links.mapInArrow(_chains, "node binary, other binary").distinct()
 
 
+def _deal(texts: DataFrame, shingle: int, similarity: float, parts: int) -> DataFrame:
+    """The keys of all whole rings of `texts`, and whose they are, packed by part: rows of part, keys and owners.
+
+    Both are arrays of 64-bit integers; an owner is the hash of a node. A task deals equal sets once.
+    """
+
+    def packed(keys: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        key, owner = np.concatenate(keys), np.repeat(np.array(owners, np.uint64), [len(x) for x in keys])
+        part = (key % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        key, owner, ends = key[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
+        some = np.nonzero(np.diff(ends))[0]
+        columns = [pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()) for x in (key, owner)]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *columns], ["part", "keys", "owners"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, owners, held = set(), [], [], 0
+        for b in batches:
+            for x in b.column(0):
+                h = shingle_set(raw(x), shingle)
+                node = xxhash.xxh3_128_digest(h.tobytes())
+                if node in seen:
+                    continue
+                seen.add(node)
+                keys.append(whole_keys(h, similarity))
+                owners.append(xxhash.xxh64_intdigest(node, SEED))
+                held += len(keys[-1])
+                if held >= DEALT:
+                    yield packed(keys, owners)
+                    keys, owners, held = [], [], 0
+        if held:
+            yield packed(keys, owners)
+
+    return texts.mapInArrow(work, "part int, keys binary, owners binary")
+
+
+def _met(part: pa.Table) -> pa.Table:
+    """applyInArrow function: the keys of a part that several have, a row of key and owner for each."""
+    key, owner = (np.frombuffer(b"".join(x.as_py() for x in part.column(i)), np.int64) for i in (1, 2))
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner = key[new], owner[new]
+    same_key = key[1:] == key[:-1]
+    keep = np.concatenate([[False], same_key]) | np.concatenate([same_key, [False]])
+    return pa.table([pa.array(key[keep]), pa.array(owner[keep])], ["key", "owner"])
+
+
+def _across(similarity: float):
+    """mapInArrow function: of rows (key, root, owner, n) in order of key and root, all pairs (a, b) of owners of a key that
+    have different roots and sizes near enough; memory is linear in the rows of a key."""
+
+    def pairs(key: np.ndarray, root: np.ndarray, owner: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new_key = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        new_root = new_key.copy()
+        new_root[1:-1] |= root[1:] != root[:-1]
+        begin, end = (np.nonzero(x)[0][np.cumsum(x[:-1])] for x in (new_root, new_key))  # where the next root, key begins
+        some = np.nonzero(end > begin)[0]
+        total = np.concatenate([[0], np.cumsum(end[some] - begin[some])])
+        at = 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + MET, "right")) - 1)
+            left = np.repeat(some[at:to], np.diff(total[at : to + 1]))
+            right = begin[left] + np.arange(total[at], total[to]) - np.repeat(total[at:to], np.diff(total[at : to + 1]))
+            near = np.minimum(n[left], n[right]) >= np.maximum(n[left], n[right]) * similarity - 1e-9
+            a, b = owner[left[near]], owner[right[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            at = to
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            held = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, batch.columns)]
+            if len(held[0]) and (done := int(np.argmax(held[0] == held[0][-1]))):
+                yield from pairs(*(x[:done] for x in held))
+                held = [x[done:] for x in held]
+        if len(held[0]):
+            yield from pairs(*held)
+
+    return work
+
+
+def _turns(similarity: float):
+    """mapInArrow function: of rows (node, other, n1, n2, a, b) those whose boxes a and b differ, over the whole turn of the
+    ring, in no more bits than two similar sets may."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = apart(batch.column(2).to_numpy(), batch.column(3).to_numpy(), similarity)
+            differ = (np.bitwise_count(np.frombuffer(raw(x), np.uint8) ^ np.frombuffer(raw(y), np.uint8)).sum() for x, y in zip(batch.column(4), batch.column(5)))
+            keep = np.fromiter(differ, np.int64, batch.num_rows) <= most
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], batch.schema.names[:2]).filter(pa.array(keep))
+
+    return work
+
+
+def remaining_pairs(texts: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int, similarity: float, parts: int) -> DataFrame:
+    """Candidate links (node, other) between rows of `nodes` (node, n, boxes) with different roots in `roots` (node, root;
+    others are their own): all pairs of them that are similar, and few others. `texts` has the texts of all nodes.
+
+    Two similar sets have a segment of whole rings in common. Few texts share one, so all pairs that do are made, but
+    those already in one class. From an equal segment the chain goes the whole turn of the ring: the bits in which boxes
+    differ add up to no more than the shingles in which similar sets may.
+    """
+    met = _deal(texts, shingle, similarity, parts).groupBy("part").applyInArrow(_met, "key long, owner long")
+    known = nodes.join(roots, "node", "left").select(F.xxhash64("node").alias("owner"), F.xxhash64(F.coalesce("root", "node")).alias("root"), "n")
+    rows = cut(met).join(known, "owner").select("key", "root", "owner", "n").repartition("key").sortWithinPartitions("key", "root")
+    pairs = cut(rows.mapInArrow(_across(similarity), "a long, b long").distinct())
+    left, right = (nodes.select(F.xxhash64("node").alias(x), F.col("node").alias(name), F.col("n").alias(n), F.col("boxes").alias(box)) for x, name, n, box in (("a", "node", "n1", "x1"), ("b", "other", "n2", "x2")))
+    links = pairs.join(left, "a").join(right, "b").select("node", "other", "n1", "n2", "x2", F.explode("x1").alias("a")).select("node", "other", "n1", "n2", "a", F.explode("x2").alias("b"))
+    links = links.where("a.level = b.level").select("node", "other", "n1", "n2", F.col("a.boxes").alias("a"), F.col("b.boxes").alias("b"))
+    return links.mapInArrow(_turns(similarity), "node binary, other binary").distinct()
+
+
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """node and its shingles' hashes, read from one row of `df` (id, text_hash) each in `wanted`."""
     schema = "node binary, shingles array<long>"
@@ -275,18 +464,29 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle:
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """`id`, `text_hash`, `node`, `root` (smallest node of the class) and `component_id` (its smallest id) per row of `df`.
 
-    Every link that makes a class is one of equal sets of shingles or of sets whose similarity has been computed whole.
+    Every link that makes a class is one of equal sets of shingles or of sets whose similarity has been computed whole, and
+    no link between two classes is left out. The similarity must be over 0.5.
     """
+    if not 0.5 < similarity <= 1:
+        raise ValueError("the similarity must be over 0.5 and at most 1")
     rows = cut(rings(df, id_col, text_col, shingle, similarity))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
-    nodes = cut(rows.groupBy("node").agg(first, F.any_value("n").alias("n"), F.any_value("rings").alias("rings")))
-    links = cut(similar_pairs(nodes, similarity))
-    ends = links.select("node").union(links.select("other")).distinct()
-    sets = cut(_sets(df, nodes.join(ends, "node", "left_semi").select("first.id", "first.text_hash"), id_col, text_col, shingle))
-    other = sets.select(F.col("node").alias("other"), F.col("shingles").alias("others"))
-    both = F.size(F.array_intersect("shingles", "others"))
-    alike = links.join(sets, "node").join(other, "other").where(both >= (F.size("shingles") + F.size("others") - both) * similarity - 1e-9)
-    named = _named(nodes.select("node", F.col("first.id").alias("id")), "node", alike.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    nodes = cut(rows.groupBy("node").agg(first, F.any_value("n").alias("n"), F.any_value("rings").alias("rings"), F.any_value("boxes").alias("boxes")))
+
+    def alike(links: DataFrame) -> DataFrame:
+        links = cut(links)
+        ends = links.select("node").union(links.select("other")).distinct()
+        sets = cut(_sets(df, nodes.join(ends, "node", "left_semi").select("first.id", "first.text_hash"), id_col, text_col, shingle))
+        other = sets.select(F.col("node").alias("other"), F.col("shingles").alias("others"))
+        both = F.size(F.array_intersect("shingles", "others"))
+        whole = links.join(sets, "node").join(other, "other").where(both >= (F.size("shingles") + F.size("others") - both) * similarity - 1e-9)
+        return whole.select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+    roots = cut(connected_components(alike(similar_pairs(nodes, similarity))))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-int(rows.agg(F.sum("n")).first()[0] or 0) // (2 * MET)))
+    more = alike(remaining_pairs(df.select(text_col), nodes, roots, shingle, similarity, parts))
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    named = _named(nodes.select("node", F.col("first.id").alias("id")), "node", links)
     return rows.select("id", "text_hash", "node").join(named, "node").select("id", "text_hash", "node", "root", "component_id")
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -171,6 +172,71 @@ def test_similar_classes_against_all_pairs(spark, edited, monkeypatch, limit):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(c) for c in set(got.values()))
 
 
+def _near_the_limit():
+    """Pairs of texts at a similarity of 0.8 or just above, of many sizes, and a hub that shares half of a family with each
+    of its pairs without being similar to any."""
+    rng = random.Random(17)
+    out = []
+
+    def text(parts):
+        return " ".join(w for p in parts for w in p)  # parts of 5 words: shingles across their borders differ as parts do
+
+    def fresh(n):
+        return [f"{rng.getrandbits(40):x}" for _ in range(n)]
+
+    for n in (5, 6, 7, 9, 13, 20, 21, 41, 60, 63, 94, 141, 150, 211, 300, 450, 800):
+        for _ in range(12):
+            words = fresh(n + 4)
+            less = n // 5  # shingles that go with the words cut off at the end; of n, at least 0.8 n are left
+            out += [text([words]), text([words[: n + 4 - less]])]
+            cut_off = n // 9  # both texts have words of their own: n - cut_off of n + cut_off shingles are in both
+            if cut_off and (n - cut_off) >= 0.8 * (n + cut_off):
+                out += [text([words[:-cut_off], fresh(cut_off), ["x"]]), text([words[:-cut_off], fresh(cut_off), ["x"]])]
+    hub = fresh(400)
+    for i in range(20):
+        own = fresh(150)
+        out += [text([hub[i * 10 : i * 10 + 200], own, fresh(20)]), text([hub[i * 10 : i * 10 + 200], own, fresh(20)])]
+    return [*out, text([hub])]
+
+
+@pytest.mark.parametrize("limit", [200_000, -1])
+def test_similar_classes_lose_no_link(spark, edited, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+    for texts in (_near_the_limit(), edited):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.id: r.component_id for r in simhash.similar_classes(df).collect()}
+        assert got == dict(enumerate(brute_similar(range(len(texts)), texts)))
+
+
+def test_similar_sets_share_a_key_and_few_bits_of_boxes_differ():
+    rng = np.random.default_rng(4)
+    for n in [*range(1, 60)] * 4 + [94, 141, 211, 212, 500, 3000] * 8:
+        x = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        for similarity in (0.6, 0.8, 0.95):
+            both = n - int(rng.integers(0, int(n * (1 - similarity) + 1e-9) + 1))
+            more = int(both / similarity + 1e-9) - n
+            if more < 0 or both == n + more:
+                continue
+            y = np.concatenate([x[:both], rng.integers(0, 1 << 64, more, dtype=np.uint64)])
+            assert np.intersect1d(simhash.whole_keys(x, similarity), simhash.whole_keys(y, similarity)).size
+            a, b = (dict(simhash.boxes(h, similarity)) for h in (x, y))
+            assert a.keys() & b.keys()
+            for at in a.keys() & b.keys():
+                differ = sum((i ^ j).bit_count() for i, j in zip(a[at], b[at]))
+                assert len(a[at]) == len(b[at]) and differ <= min(n + more + n - 2 * both, simhash.apart(n, n + more, similarity))
+
+
+def test_pairs_across_roots_are_all_made(monkeypatch):
+    rng = random.Random(6)
+    rows = sorted({(rng.randrange(12), rng.randrange(4), i, rng.choice((8, 9, 10, 14))) for i in range(300)})
+    want = {(min(a[2], b[2]), max(a[2], b[2])) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[1] != b[1] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3])}
+    for size, met in ((300, 1 << 20), (7, 5), (1, 1)):
+        monkeypatch.setattr(simhash, "MET", met)
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "root", "owner", "n"), r)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        got = [(r["a"], r["b"]) for b in simhash._across(0.8)(iter(batches)) for r in b.to_pylist()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_similar_classes_of_odd_tables(spark):
     rows = [(5, "alpha beta gamma delta epsilon", "s", None, 1), (5, "quite another text with other words", "s", None, 1), (5, "alpha beta gamma delta epsilon", "s", None, 1), (None, None, None, None, None), (6, " ", None, None, None)]
     kept = simhash.keep_one_similar(spark.createDataFrame([(*r, 1, 2) for r in rows], DOC + ", own_id int, node int"))
