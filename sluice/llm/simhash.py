@@ -24,7 +24,7 @@ from itertools import count, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,8 @@ SEGMENTS, DIFFERING, GROUP = 16, 12, 2
 BROADCAST_ROWS = 200_000
 #: Segments of whole rings that a task deals at once, and about how many are brought together at once.
 DEALT, MET = 1 << 20, 1 << 20
+#: The bit of a whole ring's key where its level begins.
+LEVEL_AT = 57
 #: The largest sets of the levels of whole rings.
 TOPS = [4]
 while TOPS[-1] < 1 << 40:
@@ -150,7 +152,8 @@ def dealt(h: np.ndarray, segments: int, dealing: int = 0) -> np.ndarray:
 
 
 def whole_keys(h: np.ndarray, similarity: float) -> np.ndarray:
-    """Hashes of (level, dealing, segment, its shingles) of a set's whole rings; similar sets have one in common.
+    """Hashes of (level, dealing, segment, its shingles) of a set's whole rings; similar sets have one in common. The first
+    7 bits are the level.
 
     Empty segments have no key. A set with no more segments than it may differ in is dealt again, to more segments, until
     it has; of two sets the one that stops first finds an equal segment of the other's in that dealing.
@@ -164,7 +167,7 @@ def whole_keys(h: np.ndarray, similarity: float) -> np.ndarray:
             place = some.astype(np.uint64) + np.uint64(at * 1024 + dealing << 40)
             x = (low + (high << np.uint64(32)) ^ place * _DEAL) * _MIX
             x = (x ^ (x >> np.uint64(32)) ^ high) * _DEAL
-            out.append(x ^ (x >> np.uint64(29)))
+            out.append(((x ^ (x >> np.uint64(29))) >> np.uint64(7)) | np.uint64(at << LEVEL_AT))
             if len(some) > most:
                 break
             segments += segments // 4 + 1
@@ -380,49 +383,45 @@ def _met(part: pa.Table) -> pa.Table:
 
 
 def _across(similarity: float):
-    """mapInArrow function: of rows (key, root, owner, n) in order of key and root, all pairs (a, b) of owners of a key that
-    have different roots and sizes near enough; memory is linear in the rows of a key."""
+    """mapInArrow function: of rows (key, root, owner, n, boxes) in order of key and root, all pairs (a, b) of owners of a
+    key that have different roots, sizes near enough, and boxes that differ, over the whole turn of the ring, in no more
+    bits than two similar sets may. Memory is linear in the rows of a key."""
 
-    def pairs(key: np.ndarray, root: np.ndarray, owner: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, root: np.ndarray, owner: np.ndarray, n: np.ndarray, boxes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        box = np.frombuffer(b"".join(boxes), np.uint8).reshape(len(key), -1)
         new_key = np.concatenate([[True], key[1:] != key[:-1], [True]])
         new_root = new_key.copy()
         new_root[1:-1] |= root[1:] != root[:-1]
         begin, end = (np.nonzero(x)[0][np.cumsum(x[:-1])] for x in (new_root, new_key))  # where the next root, key begins
         some = np.nonzero(end > begin)[0]
         total = np.concatenate([[0], np.cumsum(end[some] - begin[some])])
-        at = 0
+        at, most = 0, MET * 16 // box.shape[1]
         while at < len(some):
-            to = max(at + 1, int(np.searchsorted(total, total[at] + MET, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
             left = np.repeat(some[at:to], np.diff(total[at : to + 1]))
             right = begin[left] + np.arange(total[at], total[to]) - np.repeat(total[at:to], np.diff(total[at : to + 1]))
             near = np.minimum(n[left], n[right]) >= np.maximum(n[left], n[right]) * similarity - 1e-9
+            left, right = left[near], right[near]
+            near = np.bitwise_count(box[left] ^ box[right]).sum(1, dtype=np.int64) <= apart(n[left], n[right], similarity)
             a, b = owner[left[near]], owner[right[near]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
             at = to
 
+    def by_level(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        level = rows[0].view(np.uint64) >> np.uint64(LEVEL_AT)
+        ends = [0, *(np.nonzero(np.diff(level))[0] + 1), len(level)]
+        for i, j in zip(ends, ends[1:]):
+            yield from pairs(*(x[i:j] for x in rows))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, object)]
         for batch in batches:
-            held = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, batch.columns)]
+            held = [np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(held, batch.columns)]
             if len(held[0]) and (done := int(np.argmax(held[0] == held[0][-1]))):
-                yield from pairs(*(x[:done] for x in held))
+                yield from by_level([x[:done] for x in held])
                 held = [x[done:] for x in held]
         if len(held[0]):
-            yield from pairs(*held)
-
-    return work
-
-
-def _turns(similarity: float):
-    """mapInArrow function: of rows (node, other, n1, n2, a, b) those whose boxes a and b differ, over the whole turn of the
-    ring, in no more bits than two similar sets may."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            most = apart(batch.column(2).to_numpy(), batch.column(3).to_numpy(), similarity)
-            differ = (np.bitwise_count(np.frombuffer(raw(x), np.uint8) ^ np.frombuffer(raw(y), np.uint8)).sum() for x, y in zip(batch.column(4), batch.column(5)))
-            keep = np.fromiter(differ, np.int64, batch.num_rows) <= most
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], batch.schema.names[:2]).filter(pa.array(keep))
+            yield from by_level(held)
 
     return work
 
@@ -431,18 +430,21 @@ def remaining_pairs(texts: DataFrame, nodes: DataFrame, roots: DataFrame, shingl
     """Candidate links (node, other) between rows of `nodes` (node, n, boxes) with different roots in `roots` (node, root;
     others are their own): all pairs of them that are similar, and few others. `texts` has the texts of all nodes.
 
-    Two similar sets have a segment of whole rings in common. Few texts share one, so all pairs that do are made, but
+    Two similar sets have a segment of whole rings in common. Few texts share one, so all pairs that do are looked at, but
     those already in one class. From an equal segment the chain goes the whole turn of the ring: the bits in which boxes
     differ add up to no more than the shingles in which similar sets may.
     """
-    met = _deal(texts, shingle, similarity, parts).groupBy("part").applyInArrow(_met, "key long, owner long")
-    known = nodes.join(roots, "node", "left").select(F.xxhash64("node").alias("owner"), F.xxhash64(F.coalesce("root", "node")).alias("root"), "n")
-    rows = cut(met).join(known, "owner").select("key", "root", "owner", "n").repartition("key").sortWithinPartitions("key", "root")
-    pairs = cut(rows.mapInArrow(_across(similarity), "a long, b long").distinct())
-    left, right = (nodes.select(F.xxhash64("node").alias(x), F.col("node").alias(name), F.col("n").alias(n), F.col("boxes").alias(box)) for x, name, n, box in (("a", "node", "n1", "x1"), ("b", "other", "n2", "x2")))
-    links = pairs.join(left, "a").join(right, "b").select("node", "other", "n1", "n2", "x2", F.explode("x1").alias("a")).select("node", "other", "n1", "n2", "a", F.explode("x2").alias("b"))
-    links = links.where("a.level = b.level").select("node", "other", "n1", "n2", F.col("a.boxes").alias("a"), F.col("b.boxes").alias("b"))
-    return links.mapInArrow(_turns(similarity), "node binary, other binary").distinct()
+    met = cut(_deal(texts, shingle, similarity, parts).groupBy("part").applyInArrow(_met, "key long, owner long"))
+    owner = F.xxhash64("node").alias("owner")
+    known = nodes.join(roots, "node", "left").select(owner, F.xxhash64(F.coalesce("root", "node")).alias("root"), "n")
+    of_key = Window.partitionBy("key")
+    rows = met.join(known, "owner").withColumns({"low": F.min("root").over(of_key), "high": F.max("root").over(of_key)})
+    rows = cut(rows.where("low <> high").select("key", "root", "owner", "n", F.shiftrightunsigned("key", LEVEL_AT).cast("int").alias("level")))
+    boxes = nodes.select(owner, F.explode("boxes").alias("x")).select("owner", "x.level", "x.boxes")
+    rows = rows.join(boxes, ["owner", "level"]).select("key", "root", "owner", "n", "boxes")
+    pairs = cut(rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_across(similarity), "a long, b long").distinct())
+    left, right = (nodes.select(F.xxhash64("node").alias(x), F.col("node").alias(name)) for x, name in (("a", "node"), ("b", "other")))
+    return pairs.join(left, "a").join(right, "b").select("node", "other")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:

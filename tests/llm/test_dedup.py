@@ -228,11 +228,18 @@ def test_similar_sets_share_a_key_and_few_bits_of_boxes_differ():
 
 def test_pairs_across_roots_are_all_made(monkeypatch):
     rng = random.Random(6)
-    rows = sorted({(rng.randrange(12), rng.randrange(4), i, rng.choice((8, 9, 10, 14))) for i in range(300)})
-    want = {(min(a[2], b[2]), max(a[2], b[2])) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[1] != b[1] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3])}
+    keys = [(level << simhash.LEVEL_AT | k, level) for level in (2, 3, 65) for k in range(4)]
+    rows = [(*rng.choice(keys), rng.randrange(4), i, rng.choice((8, 9, 10, 14))) for i in range(300)]
+    rows = sorted((k - (k >> 63 << 64), root, i, n, bytes(rng.choices((0, 1, 3), k=level))) for k, level, root, i, n in rows)
+
+    def near(a, b):
+        return 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3]) and 9 * sum((x ^ y).bit_count() for x, y in zip(a[4], b[4])) <= a[3] + b[3]
+
+    want = {(min(a[2], b[2]), max(a[2], b[2])) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[1] != b[1] and near(a, b)}
+    assert 50 < len(want)
     for size, met in ((300, 1 << 20), (7, 5), (1, 1)):
         monkeypatch.setattr(simhash, "MET", met)
-        batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "root", "owner", "n"), r)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "root", "owner", "n", "boxes"), r)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
         got = [(r["a"], r["b"]) for b in simhash._across(0.8)(iter(batches)) for r in b.to_pylist()]
         assert set(got) == want and len(got) == len(want)
 
