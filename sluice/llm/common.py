@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -94,6 +96,27 @@ def raw(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
+def give_back() -> None:
+    """Returns free memory of this process to the system; Python's and Arrow's allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # only glibc has it
+        pass
+
+
+def lean(work: Callable) -> Callable:
+    """The mapInArrow function `work`; a worker, which Spark keeps for later tasks, gives its memory back after it."""
+
+    def then_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return then_lean
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that `edges` (columns a, b) names; root is the smallest node of its component.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import raw
+from sluice.llm.common import lean, raw
 
 #: Bytes of item text in an index, of which a task holds one at a time; log2 of the buckets in which words are counted.
 PIECE_BYTES = 4 << 20
@@ -121,7 +121,7 @@ def _counted(docs: DataFrame, numbers: Callable[[list[bytes]], np.ndarray], size
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[1:][some])], ["word", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in docs.mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in docs.mapInArrow(lean(work), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[r.word] = r.n
     return out
 
@@ -199,7 +199,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, i
             index.order(buckets[np.fromiter(map(_bucket, index.vocabulary), np.int64, len(index.vocabulary))])
         indexes.append(docs.sparkSession.sparkContext.broadcast(index))
     schema = docs.schema if clean_only else T.StructType(docs.schema.fields + RESULT)
-    return docs.mapInArrow(_hits(indexes, docs.columns.index(text_col), clean_only), schema)
+    return docs.mapInArrow(lean(_hits(indexes, docs.columns.index(text_col), clean_only)), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, piece_bytes: int = PIECE_BYTES) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import connected_components, cut, raw, same, unused
+from sluice.llm.common import connected_components, cut, give_back, lean, raw, same, unused
 
 SEED = 42
 BITS = 64
@@ -39,7 +39,7 @@ SEGMENTS, DIFFERING, GROUP = 16, 12, 2
 #: Keys of dropped or compared rows up to this many are broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
 #: Segments of whole rings that a task deals at once, and about how many are brought together at once.
-DEALT, MET = 1 << 20, 1 << 20
+DEALT, MET = 1 << 18, 1 << 20
 #: The bit of a whole ring's key where its level begins.
 LEVEL_AT = 57
 #: The largest sets of the levels of whole rings.
@@ -282,7 +282,7 @@ def rings(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: f
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, kind), pa.array(whole, box_kind)], schema.names)
 
     text = F.col(text_col)
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(work, schema)
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(lean(work), schema)
 
 
 def chained(a: np.ndarray, b: np.ndarray, differing: float = DIFFERING / SEGMENTS) -> np.ndarray:
@@ -330,7 +330,7 @@ def similar_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     links = links.join(left, "node").join(right, "other").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9)
     links = links.select("node", "other", "r2", F.explode("r1").alias("a")).select("node", "other", "a", F.explode("r2").alias("b")).where("a.level = b.level")
     links = links.select("node", "other", F.col("a.segments").alias("a"), F.col("b.segments").alias("b"))
-    return links.mapInArrow(_chains, "node binary, other binary").distinct()
+    return links.mapInArrow(lean(_chains), "node binary, other binary").distinct()
 
 
 def _deal(texts: DataFrame, shingle: int, similarity: float, parts: int) -> DataFrame:
@@ -366,11 +366,17 @@ def _deal(texts: DataFrame, shingle: int, similarity: float, parts: int) -> Data
         if held:
             yield packed(keys, owners)
 
-    return texts.mapInArrow(work, "part int, keys binary, owners binary")
+    return texts.mapInArrow(lean(work), "part int, keys binary, owners binary")
 
 
 def _met(part: pa.Table) -> pa.Table:
     """applyInArrow function: the keys of a part that several have, a row of key and owner for each."""
+    out = _several(part)
+    give_back()
+    return out
+
+
+def _several(part: pa.Table) -> pa.Table:
     key, owner = (np.frombuffer(b"".join(x.as_py() for x in part.column(i)), np.int64) for i in (1, 2))
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
@@ -442,7 +448,7 @@ def remaining_pairs(texts: DataFrame, nodes: DataFrame, roots: DataFrame, shingl
     rows = cut(rows.where("low <> high").select("key", "root", "owner", "n", F.shiftrightunsigned("key", LEVEL_AT).cast("int").alias("level")))
     boxes = nodes.select(owner, F.explode("boxes").alias("x")).select("owner", "x.level", "x.boxes")
     rows = rows.join(boxes, ["owner", "level"]).select("key", "root", "owner", "n", "boxes")
-    pairs = cut(rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_across(similarity), "a long, b long").distinct())
+    pairs = cut(rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(lean(_across(similarity)), "a long, b long").distinct())
     left, right = (nodes.select(F.xxhash64("node").alias(x), F.col("node").alias(name)) for x, name in (("a", "node"), ("b", "other")))
     return pairs.join(left, "a").join(right, "b").select("node", "other")
 
@@ -460,7 +466,7 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle:
     it = F.col("id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_hash"))
     wanted = wanted.select(F.col("id").alias("want_id"), F.col("text_hash").alias("want_hash")).distinct()
     found = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, it, "left_semi")
-    return found.select("text").mapInArrow(work, schema).dropDuplicates(["node"])
+    return found.select("text").mapInArrow(lean(work), schema).dropDuplicates(["node"])
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

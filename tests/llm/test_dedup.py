@@ -1,8 +1,13 @@
 """SimHash, line dedup, chat collapse: against brute force, and on odd input."""
 
+import ctypes
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -226,6 +231,41 @@ def test_similar_sets_share_a_key_and_few_bits_of_boxes_differ():
                 assert len(a[at]) == len(b[at]) and differ <= min(n + more + n - 2 * both, simhash.apart(n, n + more, similarity))
 
 
+#: Deals many texts as a worker does and prints by how many MB its memory has grown at most, and after it.
+DEALS = r"""
+import re
+import pyarrow as pa
+from sluice.llm import simhash
+
+class Texts:
+    mapInArrow = staticmethod(lambda work, schema: work)
+
+def mb(what):
+    return int(re.search(what + r":\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def batches(n):
+    for i in range(0, n, 1000):
+        yield pa.record_batch([pa.array([" ".join(map(str, range(j * 500, j * 500 + 500))) for j in range(i, i + 1000)])], ["text"])
+
+work = simhash._deal(Texts, 5, 0.8, 48)
+assert sum(x.num_rows for x in work(batches(1000)))  # what is loaded by the first call stays
+before = mb("RssAnon"), mb("VmHWM")
+keys = 0
+for out in work(batches(6000)):
+    keys += sum(len(x.as_buffer()) for x in out.column(1)) // 8
+del out
+print(keys, mb("VmHWM") - before[1], mb("RssAnon") - before[0])
+"""
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim") or not os.path.exists("/proc/self/status"), reason="memory goes back by glibc and is read from /proc")
+def test_a_worker_gives_its_memory_back():
+    run = subprocess.run([sys.executable, "-c", DEALS], cwd=Path(simhash.__file__).parents[2], capture_output=True, text=True, check=True)
+    keys, most, after = map(float, run.stdout.split()[-3:])
+    assert keys > 900_000
+    assert most < 40 and after < 16
+
+
 def test_pairs_across_roots_are_all_made(monkeypatch):
     rng = random.Random(6)
     keys = [(level << simhash.LEVEL_AT | k, level) for level in (2, 3, 65) for k in range(4)]
