@@ -40,8 +40,8 @@ SEGMENTS, DIFFERING, GROUP = 16, 12, 2
 BROADCAST_ROWS = 200_000
 #: Segments of whole rings that a task deals at once, and about how many are brought together at once.
 DEALT, MET = 1 << 18, 1 << 20
-#: The bit of a whole ring's key where its level begins.
-LEVEL_AT = 57
+#: The bits of a whole ring's key where its level and its segment's code begin; codes of the first dealing, 0 is any other's.
+LEVEL_AT, CODE_AT, CODES = 57, 50, 127
 #: The largest sets of the levels of whole rings.
 TOPS = [4]
 while TOPS[-1] < 1 << 40:
@@ -151,9 +151,13 @@ def dealt(h: np.ndarray, segments: int, dealing: int = 0) -> np.ndarray:
     return (((x >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
 
 
+def _code(segment: np.ndarray) -> np.ndarray:
+    return segment % CODES + 1
+
+
 def whole_keys(h: np.ndarray, similarity: float) -> np.ndarray:
     """Hashes of (level, dealing, segment, its shingles) of a set's whole rings; similar sets have one in common. The first
-    7 bits are the level.
+    7 bits are the level, the next 7 the code of the segment.
 
     Empty segments have no key. A set with no more segments than it may differ in is dealt again, to more segments, until
     it has; of two sets the one that stops first finds an equal segment of the other's in that dealing.
@@ -167,7 +171,8 @@ def whole_keys(h: np.ndarray, similarity: float) -> np.ndarray:
             place = some.astype(np.uint64) + np.uint64(at * 1024 + dealing << 40)
             x = (low + (high << np.uint64(32)) ^ place * _DEAL) * _MIX
             x = (x ^ (x >> np.uint64(32)) ^ high) * _DEAL
-            out.append(((x ^ (x >> np.uint64(29))) >> np.uint64(7)) | np.uint64(at << LEVEL_AT))
+            code = np.zeros(len(some), np.uint64) if dealing else _code(some).astype(np.uint64)
+            out.append(((x ^ (x >> np.uint64(29))) >> np.uint64(64 - CODE_AT)) | code << np.uint64(CODE_AT) | np.uint64(at << LEVEL_AT))
             if len(some) > most:
                 break
             segments += segments // 4 + 1
@@ -388,28 +393,52 @@ def _several(part: pa.Table) -> pa.Table:
     return pa.table([pa.array(key[keep]), pa.array(owner[keep])], ["key", "owner"])
 
 
+def told_here(code: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether a pair is told at a key of this code; a, b: a row of boxes each, most: the shingles in which two may differ.
+
+    A pair meets at each segment it shares, and would be told as often. Boxes that are equal, and not those of an empty
+    segment, are of an equal segment, or of one in which two shingles or more differ and cancel out. Of the shingles in
+    which a similar pair differs each bit that differs has one, so no more than half of what is left of `most` are equal
+    boxes of segments that are not, and it is enough to tell it at the first so many and one. A pair with no more equal
+    boxes, and any pair at a key of code 0, is told wherever it meets.
+    """
+    out = np.ones(len(code), bool)
+    other = a ^ b
+    left = (most - np.bitwise_count(other).sum(1, dtype=np.int64)) // 2
+    equal = (other == 0) & (a != 0)
+    some = np.nonzero((code > 0) & (equal.sum(1) > left))[0]
+    equal = equal[some]
+    equal &= np.cumsum(equal, axis=1, dtype=np.int32) <= left[some, None] + 1
+    out[some] = (equal & (_code(np.arange(a.shape[1]))[None, :] == code[some, None])).any(1)
+    return out
+
+
 def _across(similarity: float):
     """mapInArrow function: of rows (key, root, owner, n, boxes) in order of key and root, all pairs (a, b) of owners of a
     key that have different roots, sizes near enough, and boxes that differ, over the whole turn of the ring, in no more
-    bits than two similar sets may. Memory is linear in the rows of a key."""
+    bits than two similar sets may; a pair of several keys is told at few of them. Memory is linear in the rows of a key."""
 
     def pairs(key: np.ndarray, root: np.ndarray, owner: np.ndarray, n: np.ndarray, boxes: np.ndarray) -> Iterator[pa.RecordBatch]:
         box = np.frombuffer(b"".join(boxes), np.uint8).reshape(len(key), -1)
+        code = ((key.view(np.uint64) >> np.uint64(CODE_AT)) & np.uint64(CODES)).astype(np.int64)
         new_key = np.concatenate([[True], key[1:] != key[:-1], [True]])
         new_root = new_key.copy()
         new_root[1:-1] |= root[1:] != root[:-1]
         begin, end = (np.nonzero(x)[0][np.cumsum(x[:-1])] for x in (new_root, new_key))  # where the next root, key begins
         some = np.nonzero(end > begin)[0]
         total = np.concatenate([[0], np.cumsum(end[some] - begin[some])])
-        at, most = 0, MET * 16 // box.shape[1]
+        at, most = 0, MET * 4 // box.shape[1]
         while at < len(some):
             to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
             left = np.repeat(some[at:to], np.diff(total[at : to + 1]))
             right = begin[left] + np.arange(total[at], total[to]) - np.repeat(total[at:to], np.diff(total[at : to + 1]))
             near = np.minimum(n[left], n[right]) >= np.maximum(n[left], n[right]) * similarity - 1e-9
             left, right = left[near], right[near]
-            near = np.bitwise_count(box[left] ^ box[right]).sum(1, dtype=np.int64) <= apart(n[left], n[right], similarity)
-            a, b = owner[left[near]], owner[right[near]]
+            may = apart(n[left], n[right], similarity).astype(np.int64)
+            near = np.bitwise_count(box[left] ^ box[right]).sum(1, dtype=np.int64) <= may
+            left, right, may = left[near], right[near], may[near]
+            told = told_here(code[left], box[left], box[right], may)
+            a, b = owner[left[told]], owner[right[told]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
             at = to
 

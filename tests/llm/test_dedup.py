@@ -284,6 +284,29 @@ def test_pairs_across_roots_are_all_made(monkeypatch):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_pairs_of_many_keys_are_told_at_few():
+    rng = np.random.default_rng(8)
+    sets, rows = [], []
+    for n in [6, 9, 12, 30, 60, 94, 141, 211, 300, 500] * 6:
+        whole = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        for differ in (0, n // 20, n // 9, n // 9, n // 8, n // 7, n // 5):
+            sets.append(np.concatenate([whole[differ:], rng.integers(0, 1 << 64, differ, dtype=np.uint64)]))
+    for i, h in enumerate(sets):
+        box = dict(simhash.boxes(h, 0.8))
+        rows += [(int(k.view(np.int64)), i, i, len(h), box[int(k) >> simhash.LEVEL_AT]) for k in np.unique(simhash.whole_keys(h, 0.8))]
+    rows.sort()
+    keys = [set(simhash.whole_keys(h, 0.8).tolist()) for h in sets]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key", "root", "owner", "n", "boxes"), r)) for r in rows])
+    got = [(r["a"], r["b"]) for b in simhash._across(0.8)(iter([batch])) for r in b.to_pylist()]
+    similar = set()
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b])) if a // 7 == b // 7 else 0
+        if 0 < both < len(sets[a]) and both >= 0.8 * (2 * len(sets[a]) - both):
+            similar.add((a, b))
+    assert len(similar) > 300 and similar <= set(got)
+    assert len(got) < sum(len(keys[a] & keys[b]) for a, b in set(got)) / 3
+
+
 def test_similar_classes_of_odd_tables(spark):
     rows = [(5, "alpha beta gamma delta epsilon", "s", None, 1), (5, "quite another text with other words", "s", None, 1), (5, "alpha beta gamma delta epsilon", "s", None, 1), (None, None, None, None, None), (6, " ", None, None, None)]
     kept = simhash.keep_one_similar(spark.createDataFrame([(*r, 1, 2) for r in rows], DOC + ", own_id int, node int"))
